@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdshards, langid, matroska, packing
+from . import bpe, kdshards, langid, matroska, packing, shingles, suffixes
 from .common import documents
 
 
@@ -25,6 +25,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no 400-byte repeat covers, as digests."""
+    kept = suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a Matroska track and read back through its packet table."""
     return matroska.media_digests(documents(spark, sf_dir, "doc_id", "text"))
@@ -41,13 +50,18 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.75."""
+    return shingles.similarity_components(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids."""
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_media_columns, op5_bpe, op6_kd_sharding, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_media_columns, op5_bpe, op6_kd_sharding, op7_ngram_jaccard, op10_packing)
 }
 
 #: Queries that DuckDB can express.
