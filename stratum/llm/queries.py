@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdshards, langid, matroska, packing, shingles, suffixes
+from . import bpe, kdshards, langid, lines, matroska, packing, sampling, shingles, suffixes
 from .common import documents
 
 
@@ -55,13 +55,24 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.similarity_components(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit, with their likeness and the next document's."""
+    return sampling.neighbour_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier one holds too, as digests."""
+    left = lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_chunks", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids."""
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_media_columns, op5_bpe, op6_kd_sharding, op7_ngram_jaccard, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_media_columns, op5_bpe, op6_kd_sharding, op7_ngram_jaccard, op8_weighted_sampling, op9_line_dedup, op10_packing)
 }
 
 #: Queries that DuckDB can express.
