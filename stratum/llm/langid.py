@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, prepare
 
 UNDETERMINED = "und"
 
@@ -209,3 +209,24 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
         )
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, lang_pred string, score double, coverage double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageFilters, least_coverage: float = 0.25) -> DataFrame:
+    """The rows, with all their columns, whose language can be told: the text has letters and its
+    language knows at least least_coverage of its n-grams. A model without languages keeps every
+    text that has a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for t in batch.column(text).to_pylist():
+            if shared.value.languages:
+                lang, _, coverage = shared.value.predict(t)
+                keep.append(lang != UNDETERMINED and coverage >= least_coverage)
+            else:
+                keep.append(bool(t) and any(c.isalpha() for c in t))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)

@@ -105,11 +105,12 @@ def repeated_chunks(docs: DataFrame, config: LineConfig) -> DataFrame:
     return proved.groupBy("kid").agg(F.collect_set("k").alias("ks"))
 
 
-def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """kid, doc_id, text (what is left), n_lines, n_removed (lines), n_chunks (removed) of every row."""
+def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """kid, doc_id, text (what is left), n_lines, n_removed (lines), n_chunks (removed) and the
+    named other columns of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     gone = materialize(docs.sparkSession, repeated_chunks(docs, config))
-    joined = packed_texts(docs).join(gone, "kid", "left").select("kid", "doc_id", "z", "ks")
+    joined = packed_texts(docs, carry).join(gone, "kid", "left").select("kid", "doc_id", "z", "ks", *carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor()
@@ -130,11 +131,12 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
             removed.append(lost)
             count.append(len(drop))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, removed, count))],
-            names=["kid", "doc_id", "text", "n_lines", "n_removed", "n_chunks"],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, removed, count)), *batch.columns[4:]],
+            names=["kid", "doc_id", "text", "n_lines", "n_removed", "n_chunks", *carry],
         )
 
-    return map_batches(joined, run, f"kid bigint, doc_id {kind}, text string, n_lines bigint, n_removed bigint, n_chunks bigint")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return map_batches(joined, run, ", ".join(["kid bigint", f"doc_id {kind}", "text string", "n_lines bigint", "n_removed bigint", "n_chunks bigint", *kinds]))
 
 
 def brute_force(docs: list[tuple[int, str | None]], config: LineConfig = LineConfig()) -> dict[int, str]:

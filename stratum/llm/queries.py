@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdshards, langid, lines, matroska, packing, sampling, shingles, suffixes
+from . import bpe, kdshards, langid, lines, matroska, packing, sampling, shingles, suffixes, windows
 from .common import documents
 
 
@@ -39,6 +39,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat across documents, and documents that are copies."""
+    return windows.near_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document under the public word vocabulary, as digests."""
     return bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary(), with_ids=False)
@@ -72,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_media_columns, op5_bpe, op6_kd_sharding, op7_ngram_jaccard, op8_weighted_sampling, op9_line_dedup, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_media_columns, op4_compact_windows, op5_bpe, op6_kd_sharding, op7_ngram_jaccard, op8_weighted_sampling, op9_line_dedup, op10_packing)
 }
 
 #: Queries that DuckDB can express.

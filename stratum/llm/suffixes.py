@@ -296,14 +296,18 @@ def find_anchors(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     return map_batches(keyed(docs).select("kid", "text"), run, "kid bigint, at int, h bigint")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """kid, doc_id, z: texts compressed one by one, so that shuffles carry fewer bytes."""
+def packed_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """kid, doc_id, z and the named other columns: texts compressed one by one, so that shuffles
+    carry fewer bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3).compress
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(utf8(t)) for t in batch.column(2).to_pylist()], pa.binary())], names=["kid", "doc_id", "z"])
+        z = pa.array([pack(utf8(t)) for t in batch.column(2).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z, *batch.columns[3:]], names=["kid", "doc_id", "z", *carry])
 
-    return map_batches(keyed(docs), run, f"kid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("kid"), "doc_id", "text", *carry)
+    return map_batches(rows, run, ", ".join(["kid bigint", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "z binary", *kinds]))
 
 
 def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> DataFrame:
@@ -376,11 +380,12 @@ def united(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed byte ranges), kept (remaining bytes) of every row."""
+def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed byte ranges), kept (remaining bytes) and the named
+    other columns of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = materialize(docs.sparkSession, repeated_ranges(docs, config))
-    joined = packed_texts(docs).join(found, "kid", "left").select("doc_id", "z", "ranges")
+    joined = packed_texts(docs, carry).join(found, "kid", "left").select("doc_id", "z", "ranges", *carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor()
@@ -393,9 +398,11 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             spans.append([{"begin": b, "stop": e} for b, e in cover])
             kept.append(b"".join([data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)]))
         span = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        own = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays([*own, *batch.columns[3:]], names=["doc_id", "n_bytes", "spans", "kept", *carry])
 
-    return map_batches(joined, run, f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,stop:bigint>>, kept binary")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return map_batches(joined, run, ", ".join([f"doc_id {kind}", "n_bytes bigint", "spans array<struct<begin:bigint,stop:bigint>>", "kept binary", *kinds]))
 
 
 def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
