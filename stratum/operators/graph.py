@@ -8,22 +8,35 @@ shuffle and the joins are ordinary shuffled joins that the engine can split when
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize, prepare
+
+#: Graphs of at most so many edges (16 bytes each) are joined by one union-find task.
+SMALL_GRAPH = 400_000
+
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/stratum-checkpoints").rstrip("/")
+def joined_in_task(table: pa.Table) -> pa.Table:
+    """Union-find over one bounded table of edges."""
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    names, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = list(range(names.size))
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder."""
-    path = f"{scratch_dir(spark)}/stratum-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # names are sorted, so the lesser number is the lesser node
+    for x, y in zip(index[: a.size].tolist(), index[a.size :].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return pa.table({"node": names, "component": names[[find(k) for k in range(names.size)]]})
 
 
 def starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,12 +55,15 @@ def starred(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the least node reachable.
 
     Nodes without edges do not appear. Self-loops and repeated edges are allowed."""
     spark = edges.sparkSession
-    current = materialize(spark, edges.select("a", "b").where("a <> b").distinct())
+    current = materialize(spark, edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").distinct())
+    if current.count() <= small:
+        prepare(spark)
+        return current.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(joined_in_task, "node bigint, component bigint")
     state = None
     for _ in range(max_rounds):
         current = materialize(spark, starred(starred(current, True), False))
