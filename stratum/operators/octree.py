@@ -18,6 +18,10 @@ from ..functions import vectors as v
 from ..runtime import materialize
 
 
+#: Levels above the unit leaves at which rasterising starts.
+COARSE = 3
+
+
 @dataclass(frozen=True)
 class Root:
     """The root cube: lower corner, edge of a unit leaf and depth (edge = leaf * 2^depth)."""
@@ -62,28 +66,36 @@ def children(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "ix", "iy", "iz", eight.alias("o")).select(*keep, *[(F.col(f"i{k}") * 2 + F.col(f"o.{k}")).alias(f"i{k}") for k in "xyz"])
 
 
-def rasterize(shapes: DataFrame, root: Root, hits, inside=None, start: int | None = None) -> DataFrame:
+def coarse_nodes(shapes: DataFrame, root: Root, low: v.Vec, high: v.Vec, depth: int) -> DataFrame:
+    """Shapes with every node of a depth that their bounds touch; outside the root there is none."""
+    edge, top = root.edge / (1 << depth), (1 << depth) - 1
+    out = shapes
+    for k, (a, b) in zip("xyz", zip(low, high, strict=True), strict=True):
+        first = F.greatest(F.ceil((a - getattr(root, k)) / edge) - 1, F.lit(0))
+        last = F.least(F.floor((b - getattr(root, k)) / edge), F.lit(top))
+        out = out.withColumn(f"i{k}", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return out
+
+
+def rasterize(shapes: DataFrame, root: Root, low: v.Vec, high: v.Vec, hits, inside=None) -> DataFrame:
     """depth, ix, iy, iz of the nodes that shapes fill. hits(at, reach) and inside(at, reach) are
-    conditions over a shape's columns; a touched unit leaf counts as filled."""
+    conditions over a shape's columns; a touched unit leaf counts as filled. The search starts with
+    nodes of eight unit cells' edge, whose number stays small even for large shapes."""
     spark = shapes.sparkSession
     keep = shapes.columns
-    zero = F.lit(0).cast("bigint")
-    level = shapes.select(*keep, zero.alias("ix"), zero.alias("iy"), zero.alias("iz"))
+    start = max(0, root.depth - COARSE)
+    level = coarse_nodes(shapes, root, low, high, start)
     done = []
-    for depth in range(root.depth + 1):
+    for depth in range(start, root.depth + 1):
         at, reach = node_centre(root, depth)
         level = level.where(hits(at, F.lit(reach)))
         if depth == root.depth:
             done.append(level.select(F.lit(depth).alias("depth"), "ix", "iy", "iz"))
             break
         if inside is not None:
-            level = level.withColumn("_in", inside(at, F.lit(reach)))
-            if depth % 3 == 2:
-                level = materialize(spark, level)
+            level = materialize(spark, level.withColumn("_in", inside(at, F.lit(reach))))
             done.append(level.where("_in").select(F.lit(depth).alias("depth"), "ix", "iy", "iz"))
             level = level.where("not _in").drop("_in")
-        elif depth % 3 == 2:
-            level = materialize(spark, level)
         level = children(level, keep)
     out = done[0]
     for d in done[1:]:
@@ -96,34 +108,39 @@ def insert_boxes(boxes: DataFrame, root: Root) -> DataFrame:
     half = v.scale(v.of("s"), 0.5)
     axes = (v.of("r"), v.of("u"), v.of("l"))
     keep = boxes.select(*[f"{a}{k}" for a in "pruls" for k in "xyz"])
-    return rasterize(keep, root, lambda at, reach: g.box_hits_cube(v.of("p"), axes, half, at, reach), lambda at, reach: g.cube_in_box(at, reach, v.of("p"), axes, half))
+    around = g.box_half(*axes, v.of("s"))
+    return rasterize(keep, root, v.sub(v.of("p"), around), v.add(v.of("p"), around), lambda at, reach: g.box_hits_cube(v.of("p"), axes, half, at, reach), lambda at, reach: g.cube_in_box(at, reach, v.of("p"), axes, half))
 
 
 def insert_triangles(triangles: DataFrame, root: Root) -> DataFrame:
     """Nodes touched by the triangles (a, b, c) of parts that are no boxes."""
     keep = triangles.select(*[f"{p}{k}" for p in "abc" for k in "xyz"])
-    return rasterize(keep, root, lambda at, reach: g.triangle_hits_cube(v.of("a"), v.of("b"), v.of("c"), at, reach))
+    ends = [tuple(f(F.col(f"a{k}"), F.col(f"b{k}"), F.col(f"c{k}")) for k in "xyz") for f in (F.least, F.greatest)]
+    return rasterize(keep, root, *ends, lambda at, reach: g.triangle_hits_cube(v.of("a"), v.of("b"), v.of("c"), at, reach))
 
 
 def collapse(nodes: DataFrame, root: Root) -> DataFrame:
-    """Canonical leaves: nodes below a filled ancestor go, complete octets become their parent."""
+    """Canonical leaves: complete octets become their parent, level by level from the deepest, and
+    nodes below a filled ancestor go."""
     spark = nodes.sparkSession
-    # deepest level first: what is full rises, what has a filled ancestor is absorbed on the way down
-    rising = materialize(spark, nodes)
+    nodes = materialize(spark, nodes)
+    least = nodes.agg(F.min("depth")).first()[0]
     kept: list[DataFrame] = []
-    carried = rising.where(F.col("depth") == root.depth).select("ix", "iy", "iz")
-    for depth in range(root.depth, 0, -1):
+    carried, depth = nodes.where(F.col("depth") == root.depth).select("ix", "iy", "iz"), root.depth
+    while depth > 0:
         parent = [F.shiftright(f"i{k}", 1).alias(f"i{k}") for k in "xyz"]
         full = carried.groupBy(*parent).agg(F.count("*").alias("n")).where("n = 8").select("ix", "iy", "iz")
-        above = rising.where(F.col("depth") == depth - 1).select("ix", "iy", "iz").unionByName(full).distinct()
-        above = materialize(spark, above)
-        kept.append(materialize(spark, carried.withColumn("jx", F.shiftright("ix", 1)).withColumn("jy", F.shiftright("iy", 1)).withColumn("jz", F.shiftright("iz", 1)).join(
-            above.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("iz").alias("jz")), ["jx", "jy", "jz"], "left_anti").select(F.lit(depth).alias("depth"), "ix", "iy", "iz")))
-        carried = above
-    out = carried.select(F.lit(0).alias("depth"), "ix", "iy", "iz")
+        above = materialize(spark, nodes.where(F.col("depth") == depth - 1).select("ix", "iy", "iz").unionByName(full).distinct())
+        up = above.select(*[F.col(f"i{k}").alias(f"j{k}") for k in "xyz"])
+        lone = carried.select("*", *[F.shiftright(f"i{k}", 1).alias(f"j{k}") for k in "xyz"]).join(up, ["jx", "jy", "jz"], "left_anti")
+        kept.append(lone.select(F.lit(depth).alias("depth"), "ix", "iy", "iz"))
+        carried, depth = above, depth - 1
+        if (least is None or depth <= least) and above.isEmpty():
+            break
+    out = carried.select(F.lit(depth).alias("depth"), "ix", "iy", "iz")
     for k in kept:
         out = out.unionByName(k)
-    return absorbed(out, root)
+    return absorbed(materialize(spark, out), root)
 
 
 def absorbed(leaves: DataFrame, root: Root) -> DataFrame:

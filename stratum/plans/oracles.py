@@ -329,8 +329,8 @@ samples AS (
 ORACLES["gather_parts"] = with_(BOXES, body="SELECT part_id, name, 2 * hx AS sx, 2 * hz AS sz FROM parts WHERE greatest(2 * hx, 2 * hz) <= 400")
 ORACLES["obb_geometry"] = with_(
     BOXES,
-    "at AS (SELECT *, floor(px + hx) + 0.5 AS qx, floor(py) + 0.5 AS qy, floor(pz + hz * 0.5) + 0.5 AS qz FROM parts)",
-    "turned AS (SELECT *, (qx - px) * 0.6::DOUBLE + (qz - pz) * 0.8::DOUBLE AS a, qy - py AS b, (qz - pz) * 0.6::DOUBLE - (qx - px) * 0.8::DOUBLE AS c FROM at)",
+    "corner AS (SELECT *, floor(px + hx) + 0.5 AS qx, floor(py) + 0.5 AS qy, floor(pz + hz * 0.5) + 0.5 AS qz FROM parts)",
+    "turned AS (SELECT *, (qx - px) * 0.6::DOUBLE + (qz - pz) * 0.8::DOUBLE AS a, qy - py AS b, (qz - pz) * 0.6::DOUBLE - (qx - px) * 0.8::DOUBLE AS c FROM corner)",
     body=f"""SELECT part_id, {r6('0.6::DOUBLE * hx + 0.8::DOUBLE * hz', 'hx')}, {r6('hy')}, {r6('0.8::DOUBLE * hx + 0.6::DOUBLE * hz', 'hz')},
   abs(a) <= hx + 1e-4 AND abs(b) <= hy + 1e-4 AND abs(c) <= hz + 1e-4 AS centre_inside,
   abs(a) + 0.7 <= hx + 1e-4 AND abs(b) + 0.5 <= hy + 1e-4 AND abs(c) + 0.7 <= hz + 1e-4 AS cube_inside,
