@@ -3,41 +3,14 @@ Arrow batch plumbing and the null-safe column selection every operator starts fr
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Folder that holds the package; Python workers started from elsewhere import it from here.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..runtime import materialize, prepare
 
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package by path."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/stratum-checkpoints"
-    return at.rstrip("/")
-
-
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back.
-
-    The files outlive any executor, so a lost one never forces the stages above to rerun."""
-    path = f"{scratch_dir(spark)}/stratum-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "map_batches", "materialize", "prepare", "utf8"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -63,13 +36,3 @@ def map_batches(
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null counts as empty."""
     return text.encode("utf-8", "surrogatepass") if text else b""
-
-
-def partitions_for(df_rows: int, per_task: int, least: int = 1) -> int:
-    """Number of tasks that keeps each near per_task rows."""
-    return max(least, -(-df_rows // per_task))
-
-
-def null_safe_text(column: str = "text"):
-    """Column expression: the text, or the empty string for null."""
-    return F.coalesce(F.col(column), F.lit(""))
