@@ -1,0 +1 @@
+"""Room for unbounded inputs; every operator here works on bounded tables."""
