@@ -98,7 +98,7 @@ def repeated_chunks(docs: DataFrame, config: LineConfig) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kid", "k", "h", "first", "data"])
 
-    cut = packed_texts(docs).join(wanted, "kid").select("kid", "z", "wanted")
+    cut = packed_texts(docs).hint("merge").join(wanted, "kid").select("kid", "z", "wanted")
     cut = materialize(spark, map_batches(cut, run, "kid bigint, k int, h binary, first boolean, data binary"))
     firsts = cut.where("first").select("h", F.col("data").alias("kept")).dropDuplicates(["h"])
     proved = cut.where("not first").join(firsts, "h").where(F.col("data") == F.col("kept"))
@@ -110,7 +110,7 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig(), carry: tuple
     named other columns of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     gone = materialize(docs.sparkSession, repeated_chunks(docs, config))
-    joined = packed_texts(docs, carry).join(gone, "kid", "left").select("kid", "doc_id", "z", "ks", *carry)
+    joined = packed_texts(docs, carry).hint("merge").join(gone, "kid", "left").select("kid", "doc_id", "z", "ks", *carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor()
