@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, prepare
 
 #: Graphs of at most so many edges (16 bytes each) are joined by one union-find task.
-SMALL_GRAPH = 400_000
+SMALL_GRAPH = 1_000_000
 
 
 def joined_in_task(table: pa.Table) -> pa.Table:
