@@ -164,15 +164,15 @@ def footprints(parts: DataFrame, dead: DataFrame, options: GridOptions = GridOpt
     flat = F.sqrt(F.col("rx") * F.col("rx") + F.col("rz") * F.col("rz"))
     ux = F.when(flat > 1e-6, F.col("rx") / flat).otherwise(F.lit(1.0))
     uz = F.when(flat > 1e-6, F.col("rz") / flat).otherwise(F.lit(0.0))
-    rows = rows.withColumn("ux", ux).withColumn("uz", uz)
+    rows = rows.withColumn("yaw_x", ux).withColumn("yaw_z", uz)  # the part's own up axis keeps its name
     half = g.box_half(v.of("r"), v.of("u"), v.of("l"), v.of("s"))
     spread = lambda a, b: 0.5 * sum((F.abs(F.col(f"{e}x") * a + F.col(f"{e}z") * b) * F.col(f"s{k}") for e, k in zip("rul", "xyz", strict=True)), F.lit(0.0))
     n = lambda c: F.ceil(c / options.step).cast("int")
-    rows = rows.withColumn("nu", n(spread(F.col("ux"), F.col("uz")))).withColumn("nv", n(spread(-F.col("uz"), F.col("ux")))).withColumn("low", F.col("py") - half[1] - 1.0).withColumn("tall", half[1] * 2 + 2.0)
+    rows = rows.withColumn("nu", n(spread(F.col("yaw_x"), F.col("yaw_z")))).withColumn("nv", n(spread(-F.col("yaw_z"), F.col("yaw_x")))).withColumn("low", F.col("py") - half[1] - 1.0).withColumn("tall", half[1] * 2 + 2.0)
     rows = rows.withColumn("ui", F.explode(F.sequence(-F.col("nu"), F.col("nu") - 1))).withColumn("vi", F.explode(F.sequence(-F.col("nv"), F.col("nv") - 1)))
     s, t = (F.col("ui") + 0.5) * options.step, (F.col("vi") + 0.5) * options.step
-    qx, qz = F.col("px") + F.col("ux") * s - F.col("uz") * t, F.col("pz") + F.col("uz") * s + F.col("ux") * t
+    qx, qz = F.col("px") + F.col("yaw_x") * s - F.col("yaw_z") * t, F.col("pz") + F.col("yaw_z") * s + F.col("yaw_x") * t
     hit, _ = g.ray_entry((qx, F.col("low"), qz), v.lit(0, 1, 0), F.col("tall"), v.of("p"), (v.of("r"), v.of("u"), v.of("l")), v.scale(v.of("s"), 0.5))
     rows = rows.withColumn("t", hit).where("t is not null")
     zero = F.lit(0.0)
-    return rows.select("part_id", F.col("ui").cast("bigint").alias("ui"), F.col("vi").cast("bigint").alias("vi"), *v.named((qx, F.col("low") + F.col("t"), qz), "b"), *v.named((F.col("ux"), zero, F.col("uz")), "u"), *v.named((-F.col("uz"), zero, F.col("ux")), "v"))
+    return rows.select("part_id", F.col("ui").cast("bigint").alias("ui"), F.col("vi").cast("bigint").alias("vi"), *v.named((qx, F.col("low") + F.col("t"), qz), "b"), *v.named((F.col("yaw_x"), zero, F.col("yaw_z")), "u"), *v.named((-F.col("yaw_z"), zero, F.col("yaw_x")), "v"))
