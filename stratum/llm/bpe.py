@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, prepare
+from .common import map_batches, prepare, remembers
 
 #: Fixed values of the vocabulary's own definition: white space that its normalizer folds,
 #: and its split pattern.
@@ -171,6 +171,7 @@ class WordBpe:
 
 
 _loaded: dict[str, WordBpe] = {}
+remembers("bpe", _loaded.clear)
 
 
 def load(path: str) -> WordBpe:

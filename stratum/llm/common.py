@@ -10,7 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import materialize, prepare
 
-__all__ = ["documents", "map_batches", "materialize", "prepare", "utf8"]
+__all__ = ["documents", "focus", "map_batches", "materialize", "prepare", "remembers", "utf8"]
+
+#: What each operator keeps in a Python worker between tasks, as functions that let it go.
+_kept: dict[str, list[Callable[[], None]]] = {}
+
+
+#: Modules that work with another one's memory.
+OWNERS = {"windows": "shingles", "packing": "bpe"}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Register how to let go of an operator's worker-wide memory."""
+    _kept.setdefault(owner, []).append(forget)
+
+
+def focus(owner: str) -> None:
+    """Workers outlive stages; the operator that runs now frees what others left in its worker."""
+    for name, forgets in _kept.items():
+        if name != owner:
+            for forget in forgets:
+                forget()
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,8 +42,10 @@ def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
     """Apply fn to each Arrow batch; batches for which it returns None vanish."""
+    owner = fn.__module__.rpartition(".")[2]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus(OWNERS.get(owner, owner))
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare
+from .common import focus, map_batches, prepare
 
 UNDETERMINED = "und"
 
@@ -229,4 +229,9 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, least_coverage: flo
         return batch.filter(pa.array(keep, pa.bool_()))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)
+
+    def filtered(batches):
+        focus("langid")
+        yield from map(run, batches)
+
+    return docs.mapInArrow(filtered, docs.schema)

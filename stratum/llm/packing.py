@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import load
-from .common import prepare
+from .common import focus, prepare
 
 
 @dataclass(frozen=True)
@@ -154,6 +154,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = Pac
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("bpe")
         bpe = load(vocabulary)
         context = TaskContext.get()
         packer = Packer(sentence_ids(bpe.token, bpe.end), config, (context.partitionId() if context else 0) << 40)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, prepare, utf8
+from .common import focus, map_batches, materialize, prepare, remembers, utf8
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,7 @@ class SuffixConfig:
 GRAM = 8
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
+remembers("suffixes", _powers.clear)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,6 +327,7 @@ def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> Dat
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["pid", "block"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("suffixes")
         unpack = zstandard.ZstdDecompressor()
         chunks, rows = [], 0
         for batch in batches:
