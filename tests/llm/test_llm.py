@@ -340,6 +340,57 @@ def test_compact_windows_by_definition():
         assert {int(w["c"]): (int(w["l"]), int(w["r"])) for w in got[got["f"] == f]} == want
 
 
+def reaches(x, y, config):
+    """Brute force: whether stretches of the least length or more reach the similarity."""
+    least = config.least
+    for b in range(x.size - least + 1):
+        for c in range(y.size - least + 1):
+            for n in range(least, min(x.size - b, least + 30) + 1):
+                p = set(x[b : b + n].tolist())
+                for m in range(max(least, n - 3), min(y.size - c, n + 3) + 1):
+                    q = y[c : c + m].tolist()
+                    if config.denominator * len(p & set(q)) >= config.numerator * len(p | set(q)):
+                        return True
+    return False
+
+
+def test_passages_with_an_edit_anywhere_are_verified():
+    rnd = random.Random(16)
+    config = windows.WindowConfig()
+    fresh = iter(range(10**9))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    for length in range(50, 71, 5):
+        for at in range(length):
+            passage = words(length)
+            for edited in (passage[:at] + words(1) + passage[at + 1 :], passage[:at] + words(1) + passage[at:], passage[:at] + passage[at + 1 :]):
+                texts = [" ".join(words(rnd.randrange(5, 40)) + p + words(rnd.randrange(5, 40))).encode() for p in (passage, edited)]
+                x, y = (windows.shingles(t, config.width) for t in texts)
+                got = windows.matching(x, y, config)
+                assert len(got) == 1, (length, at)
+                b, t, c, d, likeness = got[0]
+                p, q = set(x[b:t].tolist()), set(y[c:d].tolist())
+                assert min(t - b, d - c) >= config.least and likeness == len(p & q) / len(p | q) >= 0.75
+
+
+def test_matching_agrees_with_brute_force():
+    rnd = random.Random(17)
+    config = windows.WindowConfig(words=16)
+    fresh = iter(range(10**9))
+    seen = Counter()
+    for _ in range(300):
+        passage = [f"w{next(fresh)}" for _ in range(rnd.randrange(14, 26))]
+        edited = list(passage)
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(edited))
+            edited[k : k + rnd.randrange(2)] = [f"w{next(fresh)}" for _ in range(rnd.randrange(2))]
+        around = [[f"w{next(fresh)}" for _ in range(rnd.randrange(8))] for _ in range(4)]
+        x, y = (windows.shingles(" ".join(u + p + v).encode(), config.width) for u, p, v in ((around[0], passage, around[1]), (around[2], edited, around[3])))
+        want = reaches(x, y, config)
+        seen[want] += 1
+        assert bool(windows.matching(x, y, config)) == want
+    assert min(seen[True], seen[False]) > 50
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
