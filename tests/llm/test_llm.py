@@ -240,6 +240,18 @@ def reference_fingerprint(text):
     return "".join(out)
 
 
+def test_counts_beyond_their_type_bound_nothing(spark):
+    s = np.arange(70_000, dtype=np.uint64)
+    tree = shingles.CountTree(np.stack([shingles.count_vector(s, 1)] * 2), np.array([s.size] * 2), np.arange(2), shingles.ShingleConfig())
+    assert [(int(u[0]), int(v[0])) for u, v in tree.pairs()] == [(0, 1)]
+    rnd = random.Random(18)
+    texts = [" ".join(f"w{k}" for k in rnd.sample(range(10**6), 3000)) for _ in range(3)]
+    texts += [t.replace(" ", " other ", 2) for t in texts] + [t + " last" for t in texts]
+    config = shingles.ShingleConfig(groups=8, fine_groups=8, counter="u1")
+    got = {r.doc_id: r.component_id for r in shingles.similarity_components(docs_of(spark, texts), config).collect()}
+    assert got == {d: c for d, (_, c) in shingles.brute_force(list(enumerate(texts))).items()}
+
+
 def test_weighted_samples(spark, odd, empty):
     texts = ["the cat sat on the mat. The cat!", "a different text, with words and words", "", None, "one", "the cat sat on the mat. The cat!"]
     got = sampling.neighbour_fingerprints(docs_of(spark, texts)).orderBy("doc_id").collect()
