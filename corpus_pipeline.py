@@ -12,8 +12,9 @@ from stratum.llm.common import materialize
 from stratum.llm.queries import vocabulary
 
 CARRIED = ("lang", "source")
-#: A passage of 50 words is longer than this in every language of the corpus.
+#: Most passages of over 50 words have this many bytes; the shorter ones go before packing.
 PASSAGE = suffixes.SuffixConfig(length=256, window=120)
+SHORT_WORDS = suffixes.SuffixConfig(length=256, words=51)
 
 
 def documents_of(rows: DataFrame) -> DataFrame:
@@ -39,15 +40,21 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur more than once."""
-    left = suffixes.remove_repeats(docs, PASSAGE, carry=CARRIED)
+    return without_repeats(docs, PASSAGE)
+
+
+def without_repeats(docs: DataFrame, config: suffixes.SuffixConfig) -> DataFrame:
+    """Texts without the strings that occur more than once."""
+    left = suffixes.remove_repeats(docs, config, carry=CARRIED)
     # a byte range may begin or end inside a letter; the broken bytes go with it
     return documents_of(left.select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.col("kept"), *CARRIED)
                         .select("doc_id", F.coalesce("whole", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).alias("text"), *CARRIED))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 4096 ids."""
-    return packing.pack_documents(docs, vocabulary())
+    """Pieces of windows of 4096 ids, of texts without the repeated passages of over 50 short words
+    that are too short for the suffix stage."""
+    return packing.pack_documents(without_repeats(docs, SHORT_WORDS), vocabulary())
 
 
 STAGES = [

@@ -42,12 +42,14 @@ from .common import focus, map_batches, materialize, prepare, remembers, utf8
 @dataclass(frozen=True)
 class SuffixConfig:
     """length: bytes of a string that counts as repeated; window: positions an anchor is chosen
-    from; run_rows: suffixes sorted at once in a task; block_rows: suffixes per merge group."""
+    from; run_rows: suffixes sorted at once in a task; block_rows: suffixes per merge group; words:
+    if not 0, strings of that many words and fewer than `length` bytes are sought instead."""
 
     length: int = 400
     window: int = 192
     run_rows: int = 60_000
     block_rows: int = 30_000
+    words: int = 0
 
     @property
     def core(self) -> int:
@@ -353,6 +355,37 @@ def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> Dat
     return candidates.select("kid", "z", "ats").mapInArrow(run, "pid int, block binary")
 
 
+def short_strings(data: np.ndarray, config: SuffixConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and stops of the strings of `words` words with fewer than `length` bytes."""
+    word = np.concatenate(([False], (data != 32) & ((data < 9) | (data > 13)), [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    begin, stop = edges[::2], edges[1::2]
+    begin, stop = begin[: max(0, begin.size - config.words + 1)], stop[config.words - 1 :]
+    short = stop - begin < config.length
+    return begin[short], stop[short]
+
+
+def short_repeats(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """kid and ranges as in repeated_ranges, of the short strings that occur again. They are few and
+    are grouped as they are."""
+    prepare(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for kid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = utf8(text)
+            begin, stop = short_strings(np.frombuffer(data, np.uint8), config)
+            out += [(kid, b, e, data[b:e]) for b, e in zip(begin.tolist(), stop.tolist(), strict=True)]
+        if not out:
+            return None
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["kid", "begin", "stop", "w"])
+
+    found = materialize(docs.sparkSession, map_batches(keyed(docs).select("kid", "text"), run, "kid bigint, begin bigint, stop bigint, w binary"))
+    twice = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    return found.join(twice, "w").groupBy("kid").agg(F.collect_set(F.struct("begin", "stop")).alias("ranges"))
+
+
 def repeated_ranges(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """kid and the ranges (array of begin, stop) of its text that are covered by repeated strings."""
     prepare(docs.sparkSession)
@@ -386,7 +419,7 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), carry
     """doc_id, n_bytes, spans (maximal removed byte ranges), kept (remaining bytes) and the named
     other columns of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(docs.sparkSession, repeated_ranges(docs, config))
+    found = materialize(docs.sparkSession, (short_repeats if config.words else repeated_ranges)(docs, config))
     joined = packed_texts(docs, carry).join(found, "kid", "left").select("doc_id", "z", "ranges", *carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

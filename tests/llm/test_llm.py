@@ -403,6 +403,28 @@ def test_matching_agrees_with_brute_force():
     assert min(seen[True], seen[False]) > 50
 
 
+def test_pipeline_removes_repeated_passages_of_short_words(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(19)
+    fresh = lambda n: [f"unlike{rnd.randrange(10**9)}" for _ in range(n)]
+    short = [rnd.choice("abcdefgh") + rnd.choice("ijklmnop") for _ in range(60)]
+    bodies = [fresh(30) + short[: 51 + k] + fresh(30) for k in (0, 9)] + [fresh(30) + short[:50][::-1] + fresh(5) for _ in range(2)]
+    texts = [" ".join(b) for b in bodies]
+    assert len(" ".join(short)) < corpus_pipeline.PASSAGE.length
+    rows = docs_of(spark, texts).select("doc_id", "text", "lang", "source")
+    rows = corpus_pipeline.dedup_passages(spark, rows, SF)
+    want = {0: bodies[0][:30] + bodies[0][-30:], 1: bodies[1][:30] + bodies[1][-39:], 2: bodies[2], 3: bodies[3]}
+    got = {r.doc_id: r.text.split() for r in corpus_pipeline.without_repeats(rows, corpus_pipeline.SHORT_WORDS).collect()}
+    assert got == want
+    tokens = {}
+    for r in corpus_pipeline.pack(spark, rows, SF).collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    own = bpe.load(vocabulary())
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(rows, corpus_pipeline.SHORT_WORDS).collect()}
+    assert tokens == {d: len(own.encode(x)) + 1 for d, x in kept.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
