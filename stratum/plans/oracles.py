@@ -200,20 +200,20 @@ LATTICE = """
 s1 AS (
   SELECT o_orderkey AS sid, o_orderkey % 100 AS ix, o_orderkey // 100 AS iz, (o_custkey * 7 + o_orderkey * 13) % 100 AS h, o_custkey % 16 AS blocked,
          1.0::DOUBLE + o_custkey % 8 AS clearance, ((o_custkey * 11 + o_orderkey * 3) % 70)::DOUBLE AS slope FROM orders),
-nodes AS (SELECT *, (CASE WHEN h < 50 THEN 0 WHEN h < 64 THEN 1.5 ELSE 5 END)::DOUBLE AS y FROM s1 WHERE h < 72),
+nodes AS MATERIALIZED (SELECT *, (CASE WHEN h < 50 THEN 0 WHEN h < 64 THEN 1.5 ELSE 5 END)::DOUBLE AS y FROM s1 WHERE h < 72),
 steps(sx, sz, bit) AS (VALUES (1, 0, 1), (-1, 0, 2), (0, 1, 4), (0, -1, 8)),
-near AS (SELECT a.sid AS a, b.sid AS b FROM nodes a CROSS JOIN steps JOIN nodes b ON b.ix = a.ix + sx AND b.iz = a.iz + sz WHERE abs(a.y - b.y) <= 2.0)
+near AS MATERIALIZED (SELECT a.sid AS a, b.sid AS b FROM nodes a CROSS JOIN steps JOIN nodes b ON b.ix = a.ix + sx AND b.iz = a.iz + sz WHERE abs(a.y - b.y) <= 2.0)
 """
 LCOMPS = """
 parts(node, comp) USING KEY (node) AS (
   SELECT sid, sid FROM nodes
   UNION
   SELECT p.b, min(c.comp) FROM parts c JOIN near p ON p.a = c.node JOIN recurring.parts r ON r.node = p.b WHERE c.comp < r.comp GROUP BY p.b),
-cells AS (SELECT n.*, p.comp FROM nodes n JOIN parts p ON p.node = n.sid)
+cells AS MATERIALIZED (SELECT n.*, p.comp FROM nodes n JOIN parts p ON p.node = n.sid)
 """
 RUN_Z = """
 zrun AS (SELECT *, iz - row_number() OVER (PARTITION BY comp, ix ORDER BY iz) AS gi FROM cells),
-zdist AS (SELECT *, least(iz - min(iz) OVER (PARTITION BY comp, ix, gi), max(iz) OVER (PARTITION BY comp, ix, gi) - iz) + 1 AS gz FROM zrun)
+zdist AS MATERIALIZED (SELECT *, least(iz - min(iz) OVER (PARTITION BY comp, ix, gi), max(iz) OVER (PARTITION BY comp, ix, gi) - iz) + 1 AS gz FROM zrun)
 """
 #: Row pass by the definition: every column of the row, the padding column on either side included.
 EDT = """
@@ -222,10 +222,10 @@ rowed AS (
   SELECT z.sid, min((z.ix - c.x) * (z.ix - c.x) + coalesce(o.gz * o.gz, 0))::BIGINT AS d2
   FROM zdist z JOIN box USING (comp) CROSS JOIN LATERAL (SELECT unnest(range(greatest(x0, z.ix - z.gz), least(x1, z.ix + z.gz) + 1)) AS x) c
   LEFT JOIN zdist o ON o.comp = z.comp AND o.iz = z.iz AND o.ix = c.x GROUP BY z.sid),
-field AS (SELECT c.*, d2, greatest(sqrt(d2) - 0.5, 0) AS d FROM cells c JOIN rowed USING (sid))
+field AS MATERIALIZED (SELECT c.*, d2, greatest(sqrt(d2) - 0.5, 0) AS d FROM cells c JOIN rowed USING (sid))
 """
 CRACKS = """
-cracks AS (
+cracks AS MATERIALIZED (
   SELECT c.sid * 4 + CASE bit WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS edge_id, c.comp, c.ix, c.iz, bit,
     c.ix + CASE WHEN bit IN (1, 4) THEN 1 ELSE 0 END AS ax, c.iz + CASE WHEN bit IN (4, 2) THEN 1 ELSE 0 END AS az,
     c.ix + CASE WHEN bit IN (8, 1) THEN 1 ELSE 0 END AS bx, c.iz + CASE WHEN bit IN (1, 4) THEN 1 ELSE 0 END AS bz, (c.blocked & bit) <> 0 AS wall
@@ -236,7 +236,7 @@ turns AS (
   SELECT a.edge_id, b.edge_id AS next_id,
     atan2(-((a.bx - a.ax) * (b.bz - b.az) - (a.bz - a.az) * (b.bx - b.ax))::DOUBLE, ((a.bx - a.ax) * (b.bx - b.ax) + (a.bz - a.az) * (b.bz - b.az))::DOUBLE) AS score
   FROM cracks a JOIN cracks b ON b.comp = a.comp AND b.ax = a.bx AND b.az = a.bz),
-follow AS (SELECT edge_id, arg_max(next_id, (round(score, 6), -next_id)) AS next_id FROM turns GROUP BY edge_id)
+follow AS MATERIALIZED (SELECT edge_id, arg_max(next_id, (round(score, 6), -next_id)) AS next_id FROM turns GROUP BY edge_id)
 """
 
 ORACLES["lattice_components"] = with_(LATTICE, LCOMPS, body="SELECT sid, comp FROM cells")
@@ -246,8 +246,8 @@ ORACLES["edt_squared"] = with_(LATTICE, LCOMPS, RUN_Z, EDT, body=f"SELECT sid, d
 ORACLES["thickness"] = with_(LATTICE, LCOMPS, RUN_Z, EDT, body="SELECT comp, count(*) AS cells, max(d2) AS d2 FROM field GROUP BY comp")
 ORACLES["severance"] = with_(
     LATTICE, LCOMPS, RUN_Z, EDT,
-    "kept AS (SELECT * FROM field WHERE d >= 1.5)",
-    "kept_near AS (SELECT a.sid AS a, b.sid AS b FROM kept a CROSS JOIN steps JOIN kept b ON b.comp = a.comp AND b.ix = a.ix + sx AND b.iz = a.iz + sz WHERE abs(a.y - b.y) <= 2.0)",
+    "kept AS MATERIALIZED (SELECT * FROM field WHERE d >= 1.5)",
+    "kept_near AS MATERIALIZED (SELECT a.sid AS a, b.sid AS b FROM kept a CROSS JOIN steps JOIN kept b ON b.comp = a.comp AND b.ix = a.ix + sx AND b.iz = a.iz + sz WHERE abs(a.y - b.y) <= 2.0)",
     """pieces(node, piece) USING KEY (node) AS (
   SELECT sid, sid FROM kept
   UNION
@@ -267,7 +267,7 @@ ORACLES["crack_edges"] = with_(LATTICE, LCOMPS, CRACKS, body="SELECT edge_id, co
 ORACLES["crack_successor"] = with_(LATTICE, LCOMPS, CRACKS, NEXT, body="SELECT edge_id, next_id FROM follow")
 ORACLES["loop_lengths"] = with_(
     LATTICE, LCOMPS, CRACKS, NEXT,
-    "both_ways AS (SELECT edge_id AS a, next_id AS b FROM follow UNION ALL SELECT next_id, edge_id FROM follow)",
+    "both_ways AS MATERIALIZED (SELECT edge_id AS a, next_id AS b FROM follow UNION ALL SELECT next_id, edge_id FROM follow)",
     """rings(node, ring) USING KEY (node) AS (
   SELECT edge_id, edge_id FROM follow
   UNION
