@@ -20,8 +20,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/stratum-checkpoints").rstrip("/")
+    """Shared folder named by spark.checkpoint.dir; a local one only where none is set and the
+    session runs in one process (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/stratum-checkpoints"
 
 
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -30,4 +36,14 @@ def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     The files outlive any executor, so a lost one never forces the stages above to rerun."""
     path = f"{scratch_dir(spark)}/stratum-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
