@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import materialize, prepare
+from ..runtime import discard, materialize, prepare
 
-__all__ = ["documents", "focus", "map_batches", "materialize", "prepare", "remembers", "utf8"]
+__all__ = ["discard", "documents", "focus", "map_batches", "materialize", "prepare", "remembers", "utf8"]
 
 #: What each operator keeps in a Python worker between tasks, as functions that let it go.
 _kept: dict[str, list[Callable[[], None]]] = {}
