@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LatticeOptions
-from ..runtime import prepare
-from .lattice import half_width
+from ..runtime import materialize, prepare
+from .lattice import cells, components, crack_edges, distance_field, half_width, lattice, loops
 
 
 def ordered(edge: np.ndarray, after: np.ndarray, start: int) -> list[int]:
@@ -290,3 +290,30 @@ def polygons(offsets: DataFrame, options: LatticeOptions = LatticeOptions()) ->
     verts = F.when(F.col("x").isNull() | far, F.array(corner, follow)).otherwise(F.array(point(F.col("x"), F.col("z"))))
     rows = rows.select("loop_id", F.struct("seg", "part", verts.alias("v")).alias("p"), F.when(F.col("x").isNotNull() & far, 1).otherwise(0).alias("bevel"), F.when(F.col("x").isNull(), 1).otherwise(0).alias("step"))
     return rows.groupBy("loop_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])).alias("verts"), F.sum("bevel").alias("bevels"), F.sum("step").alias("steps"))
+
+
+def offset_lines(points: DataFrame, field: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:
+    """Fitted and offset lines of loop points over a distance field."""
+    spark = points.sparkSession
+    segments = materialize(spark, fit_segments(points, options))
+    return materialize(spark, offset_segments(points, segments, point_widths(points, segments, field, options), options))
+
+
+def bake(surfels: DataFrame, options: LatticeOptions = LatticeOptions()) -> tuple[DataFrame, DataFrame]:
+    """The lattice pipeline in one call: polygons of every loop, and one row of counters (cells,
+    components, loops, segments, narrow, wall_segments, dropoff_segments, polygons, bevels, steps)."""
+    spark = surfels.sparkSession
+    nodes = lattice(surfels)
+    cell_table = materialize(spark, cells(nodes, components(nodes, options)))
+    traced = trace(loops(materialize(spark, crack_edges(cell_table))), options)
+    points = materialize(spark, loop_points(traced))
+    offsets = offset_lines(points, materialize(spark, distance_field(cell_table)), options)
+    shapes = materialize(spark, polygons(offsets, options))
+    some = lambda c: F.count(F.when(c, 1))
+    lines = offsets.where("ox is not null").agg(
+        F.count("*").alias("segments"), some(F.col("narrow")).alias("narrow"), some(F.col("label")).alias("wall_segments"), some(~F.col("label")).alias("dropoff_segments")
+    )
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    # each of these is one row
+    counters = cell_table.agg(F.count("*").alias("cells"), F.countDistinct("comp").alias("components")).crossJoin(points.agg(F.countDistinct("loop_id").alias("loops")))
+    return shapes, counters.crossJoin(lines).crossJoin(shapes.agg(F.count("*").alias("polygons"), zero("bevels"), zero("steps")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .contour_sql import FIT, OFFSETS, POINTS, POLYGONS, RINGS, TRACE
+
 ORACLES: dict[str, str] = {}
 
 
@@ -265,14 +267,20 @@ ORACLES["half_width"] = with_(
 )
 ORACLES["crack_edges"] = with_(LATTICE, LCOMPS, CRACKS, body="SELECT edge_id, comp, ax, az, bx, bz, wall FROM cracks")
 ORACLES["crack_successor"] = with_(LATTICE, LCOMPS, CRACKS, NEXT, body="SELECT edge_id, next_id FROM follow")
-ORACLES["loop_lengths"] = with_(
-    LATTICE, LCOMPS, CRACKS, NEXT,
-    "both_ways AS MATERIALIZED (SELECT edge_id AS a, next_id AS b FROM follow UNION ALL SELECT next_id, edge_id FROM follow)",
-    """rings(node, ring) USING KEY (node) AS (
-  SELECT edge_id, edge_id FROM follow
-  UNION
-  SELECT p.b, min(c.ring) FROM rings c JOIN both_ways p ON p.a = c.node JOIN recurring.rings r ON r.node = p.b WHERE c.ring < r.ring GROUP BY p.b)""",
-    body="SELECT ring AS loop_id, count(*) AS edges FROM rings GROUP BY ring",
+ORACLES["loop_lengths"] = with_(LATTICE, LCOMPS, CRACKS, NEXT, RINGS, body="SELECT ring AS loop_id, count(*) AS edges FROM rings GROUP BY ring")
+LOOPS = (LATTICE, LCOMPS, CRACKS, NEXT, RINGS, TRACE)
+ORACLES["label_closing"] = with_(*LOOPS, body="SELECT loop_id, pos, edge_id, wall, label FROM closed")
+ORACLES["loop_points"] = with_(*LOOPS, POINTS, body="SELECT loop_id, pos, x, z, label FROM points")
+ORACLES["fit_segments"] = with_(*LOOPS, POINTS, FIT, body=f"SELECT loop_id, seg, label, n, {', '.join(map(r6, ('cx', 'cz', 'dx', 'dz', 'nx', 'nz', 'length', 'bias')))} FROM segments")
+SHAPES = (*LOOPS, POINTS, FIT, RUN_Z, EDT, OFFSETS)
+ORACLES["offset_segments"] = with_(*SHAPES, body=f"SELECT loop_id, seg, part, label, n, {r6('half_width')}, round(\"offset\", 6) + 0.0 AS \"offset\", {r6('ox')}, {r6('oz')}, narrow FROM offsets")
+ORACLES["polygons"] = with_(*SHAPES, POLYGONS, body="SELECT loop_id, vertices::INT AS vertices, bevels::BIGINT AS bevels, steps::BIGINT AS steps FROM polygons")
+ORACLES["lattice_stats"] = with_(
+    *SHAPES, POLYGONS,
+    body="""SELECT (SELECT count(*) FROM cells) AS cells, (SELECT count(DISTINCT comp) FROM cells) AS components, (SELECT count(DISTINCT ring) FROM rings) AS loops,
+  count(*) AS segments, count(*) FILTER (narrow) AS narrow, count(*) FILTER (label) AS wall_segments, count(*) FILTER (NOT label) AS dropoff_segments,
+  (SELECT count(*) FROM polygons) AS polygons, (SELECT coalesce(sum(bevels), 0)::BIGINT FROM polygons) AS bevels, (SELECT coalesce(sum(steps), 0)::BIGINT FROM polygons) AS steps
+FROM offsets WHERE ox IS NOT NULL""",
 )
 ORACLES["tls_moments"] = with_(
     LATTICE, "pts AS (SELECT iz, ix + 0.5::DOUBLE AS x, iz + 0.5::DOUBLE + y AS z FROM nodes)",

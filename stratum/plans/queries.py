@@ -313,16 +313,13 @@ def fit_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def offsets_of(spark: SparkSession, d: str) -> DataFrame:
     cells = lattice_cells(spark, d)
-    field = materialize(spark, lattice.distance_field(cells))
-    points = points_of(spark, d)
-    segments = materialize(spark, contour.fit_segments(points, LATTICE))
-    widths = contour.point_widths(points, segments, field, LATTICE)
-    return materialize(spark, contour.offset_segments(points, segments, widths, LATTICE))
+    return contour.offset_lines(points_of(spark, d), materialize(spark, lattice.distance_field(cells)), LATTICE)
 
 
 @query
 def offset_segments(spark: SparkSession, d: str) -> DataFrame:
-    return offsets_of(spark, d).select("loop_id", "seg", "part", "label", "n", *r6s("half_width", "offset", "ox", "oz"), "narrow")
+    width = F.when(F.col("label"), F.col("half_width")).alias("half_width")
+    return offsets_of(spark, d).withColumn("half_width", width).select("loop_id", "seg", "part", "label", "n", *r6s("half_width", "offset", "ox", "oz"), "narrow")
 
 
 @query
@@ -333,9 +330,7 @@ def polygons(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lattice_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the whole lattice bake in one row."""
-    rows = offsets_of(spark, d).where("ox is not null")
-    count = lambda c: F.count(F.when(c, 1))
-    return rows.agg(F.count("*").alias("segments"), count(F.col("narrow")).alias("narrow"), count(F.col("label")).alias("wall_segments"), count(~F.col("label")).alias("dropoff_segments"))
+    return contour.bake(scenes.world_lattice(spark, d), LATTICE)[1]
 
 
 @query
