@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GridOptions
 from ..functions import vectors as v
-from ..runtime import materialize
+from ..runtime import materialize, prepare
+from .graph import connected_components
+
+#: Rounds of mutually nearest ends before the rest is paired group by group.
+PAIR_ROUNDS = 4
 
 
 def with_ids(runs: DataFrame) -> DataFrame:
@@ -59,25 +64,52 @@ def stitch_candidates(ends_: DataFrame, gap: float) -> DataFrame:
     return pairs.where((F.col("d") <= gap) & (F.col("d") > 1e-6)).select("i", "j", "d")
 
 
-def stitch_pairs(candidates: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Greedy nearest pairing, as rounds of mutually nearest ends under the order (d, i, j)."""
+def stitch_pairs(candidates: DataFrame) -> DataFrame:
+    """Greedy nearest pairing under the order (d, i, j), as rounds of mutually nearest ends.
+
+    The least candidate of all is mutual in every round, so the rounds end. Where a round has few
+    pairs, as along a chain of falling gaps, the ends that candidates connect are paired group by
+    group instead."""
     spark = candidates.sparkSession
     left = materialize(spark, candidates.select(F.round("d", 9).alias("o"), "d", "i", "j"))
     chosen: DataFrame | None = None
-    for _ in range(max_rounds):
+    for _ in range(PAIR_ROUNDS):
+        if left.isEmpty():
+            break
         sides = left.select(F.col("i").alias("e"), "o", "d", "i", "j").unionByName(left.select(F.col("j").alias("e"), "o", "d", "i", "j"))
         best = sides.groupBy("e").agg(F.min(F.struct("o", "i", "j", "d")).alias("b"))
         mutual = best.groupBy("b").agg(F.count("*").alias("n")).where("n = 2").select("b.o", "b.d", "b.i", "b.j")
         mutual = materialize(spark, mutual)
-        if mutual.isEmpty():
-            break
         chosen = mutual if chosen is None else chosen.unionByName(mutual)
         used = mutual.select(F.col("i").alias("e")).unionByName(mutual.select(F.col("j").alias("e")))
         left = left.join(used.withColumnRenamed("e", "i"), "i", "left_anti").join(used.withColumnRenamed("e", "j"), "j", "left_anti")
         left = materialize(spark, left.select("o", "d", "i", "j"))
-        if left.isEmpty():
-            break
-    return chosen if chosen is not None else left.limit(0)
+    rest = greedy_pairs(left)
+    return rest if chosen is None else chosen.unionByName(rest)
+
+
+def greedy_pairs(candidates: DataFrame) -> DataFrame:
+    """The same pairing, one group of ends that candidates connect at a time."""
+    spark = candidates.sparkSession
+    name = lambda e: F.xxhash64(*[F.col(f"{e}.k{k}") for k in "xyz"])
+    roots = connected_components(candidates.select(name("i").alias("a"), name("j").alias("b")))
+    flat = candidates.select("o", "d", *[F.col(f"{e}.k{k}").alias(f"{e}{k}") for e in "ij" for k in "xyz"], name("i").alias("node"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.drop_columns(["d"]).to_pylist()
+        order = sorted(range(len(rows)), key=lambda n: (rows[n]["o"], *(rows[n][f"{e}{k}"] for e in "ij" for k in "xyz")))
+        used, keep = set(), []
+        for n in order:
+            i, j = (tuple(rows[n][f"{e}{k}"] for k in "xyz") for e in "ij")
+            if i not in used and j not in used:
+                used |= {i, j}
+                keep.append(n)
+        return table.take(pa.array(keep, pa.int64())).drop_columns(["node", "component"])
+
+    prepare(spark)
+    ends = [f"{e}{k}" for e in "ij" for k in "xyz"]
+    kept = flat.join(roots, "node").select("node", "component", "o", "d", *ends).groupBy("component").applyInArrow(run, "o double, d double, " + ", ".join(f"{c} bigint" for c in ends))
+    return kept.select("o", "d", *[F.struct(*[F.col(f"{e}{k}").alias(f"k{k}") for k in "xyz"]).alias(e) for e in "ij"])
 
 
 def tee_targets(ends_: DataFrame, runs: DataFrame, gap: float) -> DataFrame:
@@ -96,7 +128,9 @@ def tee_targets(ends_: DataFrame, runs: DataFrame, gap: float) -> DataFrame:
     pairs = pairs.where(size > 1e-6).withColumn("t", t).where("t > 0.02 and t < 0.98")
     at = v.add(v.of("a"), v.scale(ab, F.col("t")))
     pairs = pairs.withColumn("d", v.length(v.sub(at, v.of("p")))).where(F.col("d") < gap)
-    best = pairs.groupBy("e").agg(F.min(F.struct(F.round("d", 9).alias("o"), "run_id", "t", "d")).alias("b"))
+    # of equally near runs the one cut earliest, then the one that begins least
+    place = F.struct(F.round("d", 9).alias("o"), F.round("t", 9).alias("p"), *[f"{p}{k}" for p in "ab" for k in "xyz"], "run_id", "t", "d")
+    best = pairs.groupBy("e").agg(F.min(place).alias("b"))
     return best.select("e", "b.run_id", "b.t", "b.d")
 
 

@@ -9,29 +9,32 @@ from pyspark.sql import functions as F
 from ..config import FloorOptions, GridOptions
 from ..functions import geometry as g
 from ..functions import vectors as v
-from ..runtime import materialize
-from .octree import Root, build, in_solid, leaf_boxes
+from ..runtime import discard, materialize
+from .octree import Root, build, in_solid, is_block, leaf_boxes
 
 #: Width of the horizontal buckets that vertical rays and boxes meet in.
 PITCH = 4.0
 BOX = [f"{a}{k}" for a in "pruls" for k in "xyz"]
 
 
-def characters(instances: DataFrame, max_depth: int = 64) -> DataFrame:
+def characters(instances: DataFrame) -> DataFrame:
     """instance_id of everything below a model that has a humanoid child. instances: instance_id,
-    parent_id, class. Climbs by pointer jumping, so depth costs a logarithm of joins."""
+    parent_id, class. Climbs by pointer jumping until every pointer has left the tree, so depth
+    costs a logarithm of joins; instances that are their own ancestors are an error."""
     spark = instances.sparkSession
     models = instances.where("class = 'Humanoid'").select(F.col("parent_id").alias("instance_id")).distinct()
     models = models.join(instances.where("class = 'Model'").select("instance_id"), "instance_id")
     marked = instances.select("instance_id", "parent_id").join(models.select(F.col("instance_id").alias("parent_id"), F.lit(True).alias("hit")), "parent_id", "left")
     marked = materialize(spark, marked.select("instance_id", F.col("parent_id").alias("up"), F.coalesce("hit", F.lit(False)).alias("hit")))
-    span = 1
-    while span < max_depth:
+    for _ in range(64):
+        if marked.where("up is not null").isEmpty():
+            return marked.where("hit").select("instance_id")
         above = marked.select(F.col("instance_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("more"))
-        marked = marked.join(above, "up", "left").select("instance_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
-        marked = materialize(spark, marked)
-        span *= 2
-    return marked.where("hit").select("instance_id")
+        after = marked.join(above, "up", "left").select("instance_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
+        after = materialize(spark, after)
+        discard(marked)
+        marked = after
+    raise ValueError("instances that are their own ancestors")
 
 
 def gather_parts(parts: DataFrame, options: FloorOptions = FloorOptions()) -> DataFrame:
@@ -97,7 +100,7 @@ def top_faces(parts: DataFrame) -> DataFrame:
     steep = {a: F.abs(axes[a][1]) for a in axes}
     pick = F.when((steep["u"] >= steep["r"]) & (steep["u"] >= steep["l"]), "u").when(steep["r"] >= steep["l"], "r").otherwise("l")
     size = {"r": F.col("sx"), "u": F.col("sy"), "l": F.col("sz")}
-    block = F.coalesce(F.col("shape") == "Block", F.lit(False))
+    block = is_block(F.col("shape"))
     half = g.box_half(v.of("r"), v.of("u"), v.of("l"), v.of("s"))
     plane = {"u": ("r", "l"), "r": ("u", "l"), "l": ("r", "u")}
 
@@ -149,7 +152,9 @@ def local_grids(parts: DataFrame, options: GridOptions = GridOptions(), floor: F
     rows = samples.join(killed, key, "left").join(above.select(*key, "t", F.col("part_id").alias("roof")), key, "left")
     killer = F.coalesce("overlap", F.when(F.col("t") + 0.15 < options.min_clearance, F.col("roof")))
     rows = materialize(parts.sparkSession, rows.withColumn("killer_id", killer).withColumn("clearance", F.coalesce("t", F.lit(floor.clear_cap))))
-    live = rows.where("killer_id is null").select(F.xxhash64(*key).alias("cell_id"), *key, *[f"{a}{x}" for a in "puvn" for x in "xyz"], "slope", "clearance")
+    # unique for part ids below 2^31 and faces of at most 2^16 steps
+    cell = F.shiftleft("grid_id", 32) + F.shiftleft("ui", 16) + F.col("vi")
+    live = rows.where("killer_id is null").select(cell.alias("cell_id"), *key, *[f"{a}{x}" for a in "puvn" for x in "xyz"], "slope", "clearance")
     dead = rows.where("killer_id is not null").select(*key, "px", "py", "pz", "killer_id")
     return live, dead
 

@@ -181,15 +181,76 @@ ORACLES["audit_by_kind"] = with_(
     "total AS (SELECT kind AS scope, count(*) AS runs FROM runs GROUP BY kind UNION ALL SELECT 'all', count(*) FROM runs)",
     body="SELECT t.scope, runs, coalesce(open_ends, 0) AS open_ends, least(coalesce(open_ends, 0), 12)::BIGINT AS samples FROM total t LEFT JOIN one USING (scope)",
 )
-ORACLES["stitch_candidates"] = with_(
-    GRID, EDGES, COMPS, RUNS, VERTICES,
-    "cube AS (SELECT *, floor(px / 2.5) AS gx, floor(py / 2.5) AS gy, floor(pz / 2.5) AS gz FROM opened)",
-    """close AS (
+CLOSE = """
+cube AS (SELECT *, floor(px / 2.5) AS gx, floor(py / 2.5) AS gy, floor(pz / 2.5) AS gz FROM opened),
+near_ends AS (
   SELECT a.kx AS ix, a.ky AS iy, a.kz AS iz, b.kx AS jx, b.ky AS jy, b.kz AS jz, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz)) AS d
   FROM cube a CROSS JOIN (VALUES (-1), (0), (1)) x(x) CROSS JOIN (VALUES (-1), (0), (1)) y(y) CROSS JOIN (VALUES (-1), (0), (1)) z(z)
   JOIN cube b ON b.gx = a.gx + x AND b.gy = a.gy + y AND b.gz = a.gz + z
-  WHERE (a.kx, a.ky, a.kz) < (b.kx, b.ky, b.kz))""",
-    body=f"SELECT ix, iy, iz, jx, jy, jz, {r6('d')} FROM close WHERE d <= 2.5 AND d > 1e-6",
+  WHERE (a.kx, a.ky, a.kz) < (b.kx, b.ky, b.kz)),
+close AS (SELECT * FROM near_ends WHERE d <= 2.5 AND d > 1e-6)
+"""
+ORACLES["stitch_candidates"] = with_(GRID, EDGES, COMPS, RUNS, VERTICES, CLOSE, body=f"SELECT ix, iy, iz, jx, jy, jz, {r6('d')} FROM close")
+#: Runs with numbers, their open ends, and the pairing one candidate at a time in order.
+NUMBERED = """
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM runs),
+ends AS (SELECT rid, kind, ax AS px, ay AS py, az AS pz FROM numbered UNION ALL SELECT rid, kind, bx, by_, bz FROM numbered),
+vertices AS (
+  SELECT *, floor(px / 0.05::DOUBLE + 0.5)::BIGINT AS kx, floor(py / 0.05::DOUBLE + 0.5)::BIGINT AS ky, floor(pz / 0.05::DOUBLE + 0.5)::BIGINT AS kz FROM ends),
+opened AS MATERIALIZED (
+  SELECT kx, ky, kz, any_value(rid) AS rid, any_value(kind) AS kind, any_value(px) AS px, any_value(py) AS py, any_value(pz) AS pz FROM vertices GROUP BY kx, ky, kz HAVING count(*) = 1)
+"""
+GREEDY = """
+ranked AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY round(d, 9), ix, iy, iz, jx, jy, jz) AS n, concat_ws(':', ix, iy, iz) AS i, concat_ws(':', jx, jy, jz) AS j, * FROM close),
+walked(n, used, taken) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], false
+  UNION ALL
+  SELECT n, CASE WHEN free THEN list_concat(used, [i, j]) ELSE used END, free
+  FROM (SELECT r.n, used, i, j, NOT list_contains(used, i) AND NOT list_contains(used, j) AS free FROM walked w JOIN ranked r ON r.n = w.n + 1)),
+paired AS MATERIALIZED (SELECT r.* FROM ranked r JOIN walked w ON w.n = r.n WHERE taken)
+"""
+
+
+def tees(source: str) -> str:
+    """Nearest inner point of another run for every end of the source."""
+    return f"""
+tee_pairs AS (
+  SELECT e.kx, e.ky, e.kz, r.*, e.px, e.py, e.pz, bx - ax AS dx, by_ - ay AS dy, bz - az AS dz, dx * dx + dy * dy + dz * dz AS size,
+    least(greatest(((px - ax) * dx + (py - ay) * dy + (pz - az) * dz) / nullif(size, 0), 0.0::DOUBLE), 1.0::DOUBLE) AS t,
+    ax + dx * t - px AS ex, ay + dy * t - py AS ey, az + dz * t - pz AS ez, sqrt(ex * ex + ey * ey + ez * ez) AS d
+  FROM {source} e JOIN numbered r ON r.rid <> e.rid AND e.px BETWEEN least(ax, bx) - 3 AND greatest(ax, bx) + 3 AND e.pz BETWEEN least(az, bz) - 3 AND greatest(az, bz) + 3),
+targets AS MATERIALIZED (
+  SELECT kx, ky, kz, arg_min(rid, (round(d, 9), round(t, 9), ax, ay, az, bx, by_, bz)) AS rid, arg_min(t, (round(d, 9), round(t, 9), ax, ay, az, bx, by_, bz)) AS t,
+    arg_min(d, (round(d, 9), round(t, 9), ax, ay, az, bx, by_, bz)) AS d
+  FROM tee_pairs WHERE size > 1e-6 AND t > 0.02 AND t < 0.98 AND d < 2.5 GROUP BY kx, ky, kz)
+"""
+
+
+STITCH_BASE = (GRID, EDGES, COMPS, RUNS, NUMBERED, CLOSE, GREEDY)
+ORACLES["stitch_pairs"] = with_(*STITCH_BASE, body=f"SELECT ix, iy, iz, jx, jy, jz, {r6('d')} FROM paired")
+ORACLES["stitch_tees"] = with_(GRID, EDGES, COMPS, RUNS, NUMBERED, tees("opened"), body=f"SELECT kx, ky, kz, {r6('t')}, {r6('d')} FROM targets")
+ORACLES["stitched_audit"] = with_(
+    *STITCH_BASE,
+    "lone AS (SELECT * FROM opened WHERE (kx, ky, kz) NOT IN (SELECT (ix, iy, iz) FROM paired) AND (kx, ky, kz) NOT IN (SELECT (jx, jy, jz) FROM paired))",
+    tees("lone"),
+    "stops AS (SELECT rid, t FROM targets UNION SELECT rid, 0.0::DOUBLE FROM numbered UNION SELECT rid, 1.0::DOUBLE FROM numbered)",
+    "spans AS (SELECT rid, t AS s, lead(t) OVER (PARTITION BY rid ORDER BY t) AS e FROM stops)",
+    """stitched AS (
+  SELECT kind, CASE WHEN s = 0 THEN ax ELSE ax + (bx - ax) * s END AS ax, CASE WHEN s = 0 THEN ay ELSE ay + (by_ - ay) * s END AS ay, CASE WHEN s = 0 THEN az ELSE az + (bz - az) * s END AS az,
+    CASE WHEN e = 1 THEN bx ELSE ax + (bx - ax) * e END AS bx, CASE WHEN e = 1 THEN by_ ELSE ay + (by_ - ay) * e END AS b_y, CASE WHEN e = 1 THEN bz ELSE az + (bz - az) * e END AS bz
+  FROM spans JOIN numbered USING (rid) WHERE e IS NOT NULL
+  UNION ALL
+  SELECT CASE WHEN i.kind = 'wall' AND j.kind = 'wall' THEN 'wall' ELSE 'dropoff' END, i.px, i.py, i.pz, j.px, j.py, j.pz
+  FROM paired p JOIN opened i ON (i.kx, i.ky, i.kz) = (p.ix, p.iy, p.iz) JOIN opened j ON (j.kx, j.ky, j.kz) = (p.jx, p.jy, p.jz)
+  UNION ALL
+  SELECT o.kind, o.px, o.py, o.pz, n.ax + (n.bx - n.ax) * t.t, n.ay + (n.by_ - n.ay) * t.t, n.az + (n.bz - n.az) * t.t
+  FROM targets t JOIN lone o ON (o.kx, o.ky, o.kz) = (t.kx, t.ky, t.kz) JOIN numbered n ON n.rid = t.rid)""",
+    "tips AS (SELECT kind, ax AS px, ay AS py, az AS pz FROM stitched UNION ALL SELECT kind, bx, b_y, bz FROM stitched)",
+    "scoped AS (SELECT scope, floor(px / 0.05::DOUBLE + 0.5) AS kx, floor(py / 0.05::DOUBLE + 0.5) AS ky, floor(pz / 0.05::DOUBLE + 0.5) AS kz FROM tips CROSS JOIN LATERAL (SELECT unnest([kind, 'all']) AS scope))",
+    "one AS (SELECT scope, count(*) AS open_ends FROM (SELECT scope FROM scoped GROUP BY scope, kx, ky, kz HAVING count(*) = 1) GROUP BY scope)",
+    "total AS (SELECT kind AS scope, count(*) AS runs FROM stitched GROUP BY kind UNION ALL SELECT 'all', count(*) FROM stitched)",
+    body="SELECT t.scope, runs, coalesce(open_ends, 0) AS open_ends FROM total t LEFT JOIN one USING (scope)",
 )
 ORACLES["debug_bars"] = with_(
     GRID, EDGES, COMPS, RUNS,
@@ -359,3 +420,41 @@ ORACLES["blocked_mask"] = with_(
 )
 ORACLES["surfels"] = with_(BOXES, LEVELS, LEAVES, SURFELS, body=f"SELECT x + 0.5::DOUBLE AS px, y AS py, z + 0.5::DOUBLE AS pz, 0.0::DOUBLE AS slope, {r6('coalesce(roof, 20)', 'clearance')}, part_id FROM samples")
 ORACLES["floor_area_by_part"] = with_(BOXES, LEVELS, LEAVES, SURFELS, body=f"SELECT part_id, count(*) AS samples, {r6('min(coalesce(roof, 20))', 'lowest')} FROM samples GROUP BY part_id")
+
+# --- part-aligned grids of the boxes ------------------------------------------
+
+LOCAL = """
+grid_cells AS MATERIALIZED (
+  SELECT part_id AS grid_id, ui, vi, px + (ui + 0.5::DOUBLE - floor(2 * hx) / 2) AS x, py + hy AS y, pz + (vi + 0.5::DOUBLE - floor(2 * hz) / 2) AS z FROM parts
+  CROSS JOIN LATERAL (SELECT unnest(range(floor(2 * hx)::BIGINT)) AS ui) CROSS JOIN LATERAL (SELECT unnest(range(floor(2 * hz)::BIGINT)) AS vi)),
+shut_in AS (
+  SELECT grid_id, ui, vi, min(part_id) AS killer FROM grid_cells c JOIN parts p ON p.part_id <> c.grid_id
+    AND abs(p.px - x) <= hx + 0.45 AND abs(p.py - (y + 0.45::DOUBLE + 0.1::DOUBLE)) <= hy + 0.45 AND abs(p.pz - z) <= hz + 0.45 GROUP BY grid_id, ui, vi),
+roofs AS (
+  SELECT grid_id, ui, vi, -hy - (y + 0.15::DOUBLE - p.py) AS t, part_id FROM grid_cells c JOIN parts p ON abs(x - p.px) <= hx AND abs(z - p.pz) <= hz
+  WHERE -hy - (y + 0.15::DOUBLE - p.py) BETWEEN 0 AND 20),
+first_roof AS (SELECT grid_id, ui, vi, arg_min(t, (round(t, 9), part_id)) AS t, arg_min(part_id, (round(t, 9), part_id)) AS roof FROM roofs GROUP BY grid_id, ui, vi),
+judged AS MATERIALIZED (
+  SELECT c.*, coalesce(killer, CASE WHEN t + 0.15::DOUBLE < 1.5 THEN roof END) AS killer_id FROM grid_cells c LEFT JOIN shut_in USING (grid_id, ui, vi) LEFT JOIN first_roof USING (grid_id, ui, vi))
+"""
+UNDERSIDES = """
+feet AS MATERIALIZED (
+  SELECT part_id, ui, vi, px + (ui + 0.5::DOUBLE) AS bx, py - hy AS b_y, pz + (vi + 0.5::DOUBLE) AS bz FROM parts
+  CROSS JOIN LATERAL (SELECT unnest(range(-ceil(hx)::BIGINT, ceil(hx)::BIGINT)) AS ui) CROSS JOIN LATERAL (SELECT unnest(range(-ceil(hz)::BIGINT, ceil(hz)::BIGINT)) AS vi)
+  WHERE part_id IN (SELECT killer_id FROM judged) AND abs(ui + 0.5) <= hx AND abs(vi + 0.5) <= hz)
+"""
+BOX_CELLS = """
+live AS MATERIALIZED (
+  SELECT grid_id * 4294967296 + ui * 65536 + vi AS cell_id, grid_id, ui, vi, x AS px, y AS py, z AS pz, 1.0::DOUBLE AS ux, 0.0::DOUBLE AS uz FROM judged WHERE killer_id IS NULL),
+dead AS (SELECT grid_id * 4294967296 + ui * 65536 + vi AS cell_id, grid_id, ui, vi, x AS px, y AS py, z AS pz, killer_id FROM judged WHERE killer_id IS NOT NULL),
+sides(du, dv) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
+sided AS (SELECT l.*, du, dv, ux * du - uz * dv AS ox, uz * du + ux * dv AS oz FROM live l CROSS JOIN sides)
+"""
+ORACLES["local_grid_samples"] = with_(BOXES, LOCAL, body="SELECT grid_id, ui, vi, killer_id FROM judged")
+ORACLES["footprint_cells"] = with_(BOXES, LOCAL, UNDERSIDES, body=f"SELECT part_id, ui, vi, {r6('bx')}, {r6('b_y', 'by')}, {r6('bz')} FROM feet")
+FLOORS = FEET[FEET.index("grounds AS"):]
+ORACLES["bake_runs"] = with_(
+    BOXES, LOCAL, UNDERSIDES, BOX_CELLS, EDGES, COMPS, FLOORS, FRONTIER, OUTLINES, WALLS_LEFT, RUNS.replace("FROM edges e", "FROM edges_all e"),
+    body=f"""SELECT kind, 'floor-frame' AS source, count(*) AS runs, {r6('sum(length)', 'length')} FROM sized GROUP BY kind
+UNION ALL SELECT 'wall', 'footprint', count(*), round(sum(length), 6) + 0.0 FROM outline_runs HAVING count(*) > 0""",
+)
