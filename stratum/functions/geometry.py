@@ -32,32 +32,38 @@ def cube_in_box(at: Vec, reach, centre: Vec, axes: tuple[Vec, Vec, Vec], half: V
 
 def box_hits_cube(centre: Vec, axes: tuple[Vec, Vec, Vec], half: Vec, at: Vec, reach) -> Column:
     """Separating-axis test over the three world axes, the box's axes and their nine cross
-    products. Touching counts as a hit; near-parallel cross products are skipped."""
-    d = v.sub(centre, at)
-    world = [v.lit(1, 0, 0), v.lit(0, 1, 0), v.lit(0, 0, 1)]
-
-    def apart(axis: Vec) -> Column:
-        box = sum((half[k] * F.abs(v.dot(axes[k], axis)) for k in range(3)), F.lit(0.0))
-        cube = reach * (F.abs(axis[0]) + F.abs(axis[1]) + F.abs(axis[2]))
-        return (v.dot(axis, axis) >= DEGENERATE) & (F.abs(v.dot(d, axis)) > box + cube)
+    products. Touching counts as a hit; near-parallel cross products are skipped.
 
-    tests = [apart(a) for a in [*world, *axes]] + [apart(v.cross(w, a)) for w in world for a in axes]
-    return ~reduce(Column.__or__, tests)
+    axes: orthonormal. So the box reaches, along the cross product of world axis i and its axis j,
+    as far as its two other axes do along i with their halves exchanged, which keeps the terms short."""
+    d = v.sub(centre, at)
+    size = [[F.abs(x) for x in a] for a in axes]
+    apart = [F.abs(d[i]) > half[0] * size[0][i] + half[1] * size[1][i] + half[2] * size[2][i] + reach for i in range(3)]
+    apart += [F.abs(v.dot(d, a)) > half[j] + reach * (size[j][0] + size[j][1] + size[j][2]) for j, a in enumerate(axes)]
+    for i in range(3):
+        p, q = (i + 1) % 3, (i + 2) % 3
+        for j, a in enumerate(axes):
+            k, m = (j + 1) % 3, (j + 2) % 3
+            beyond = F.abs(d[q] * a[p] - d[p] * a[q]) > half[k] * size[m][i] + half[m] * size[k][i] + reach * (size[j][p] + size[j][q])
+            apart.append((a[p] * a[p] + a[q] * a[q] >= DEGENERATE) & beyond)
+    return ~reduce(Column.__or__, apart)
 
 
 def triangle_hits_cube(a: Vec, b: Vec, c: Vec, at: Vec, reach) -> Column:
-    """Separating-axis test of a triangle and a cube: cube faces, triangle plane, nine edge products."""
-    p = [v.sub(x, at) for x in (a, b, c)]
-    edges = [v.sub(p[1], p[0]), v.sub(p[2], p[1]), v.sub(p[0], p[2])]
-    world = [v.lit(1, 0, 0), v.lit(0, 1, 0), v.lit(0, 0, 1)]
-
-    def apart(axis: Vec) -> Column:
-        s = [v.dot(x, axis) for x in p]
-        r = reach * (F.abs(axis[0]) + F.abs(axis[1]) + F.abs(axis[2]))
-        return (v.dot(axis, axis) >= DEGENERATE) & ((F.least(*s) > r) | (F.greatest(*s) < -r))
-
-    tests = [apart(w) for w in world] + [apart(v.cross(edges[0], edges[1]))] + [apart(v.cross(w, e)) for w in world for e in edges]
-    return ~reduce(Column.__or__, tests)
+    """Separating-axis test of a triangle and a cube: cube faces, triangle plane, nine edge products.
+    Along an edge product both ends of the edge lie at one place, so two corners tell its range."""
+    corner = [v.sub(x, at) for x in (a, b, c)]
+    edge = [v.sub(b, a), v.sub(c, b), v.sub(a, c)]
+    outside = lambda xs, r: (F.least(*xs) > r) | (F.greatest(*xs) < -r)
+    apart = [outside([p[k] for p in corner], reach) for k in range(3)]
+    n = v.cross(edge[0], edge[1])
+    apart.append((v.dot(n, n) >= DEGENERATE) & (F.abs(v.dot(n, corner[0])) > reach * (F.abs(n[0]) + F.abs(n[1]) + F.abs(n[2]))))
+    for i in range(3):
+        p, q = (i + 1) % 3, (i + 2) % 3
+        for k, e in enumerate(edge):
+            ends = [x[q] * e[p] - x[p] * e[q] for x in (corner[k], corner[(k + 2) % 3])]
+            apart.append((e[p] * e[p] + e[q] * e[q] >= DEGENERATE) & outside(ends, reach * (F.abs(e[p]) + F.abs(e[q]))))
+    return ~reduce(Column.__or__, apart)
 
 
 def ray_entry(origin: Vec, direction: Vec, reach, centre: Vec, axes: tuple[Vec, Vec, Vec], half: Vec) -> tuple[Column, Column]:

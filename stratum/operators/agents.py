@@ -35,13 +35,15 @@ def walkable_by(surfels: DataFrame, options: AgentOptions = AgentOptions()) -> D
 
 
 def floor_rectangles(cells: DataFrame, options: AgentOptions = AgentOptions()) -> DataFrame:
-    """Convex pieces of a component: maximal row runs of one movement mode and floor band, merged
-    downwards while the next row has the same run. cells: comp, ix, iz, y, clearance.
-
-    A band is floor_deviation high, so no rectangle's floor varies by more. comp, mode, x0, x1, z0, z1, cells."""
-    rows = cells.withColumn("mode", F.coalesce(movement_mode(F.col("clearance"), options), F.lit("none"))).withColumn("level", F.floor(F.col("y") / options.floor_deviation))
-    rows = with_island(rows, ["comp", "iz", "mode", "level"], "ix", [])
-    runs = rows.groupBy("comp", "iz", "mode", "level", "island").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
-    runs = with_island(runs.drop("island"), ["comp", "mode", "level", "x0", "x1"], "iz", [])
-    out = runs.groupBy("comp", "mode", "level", "x0", "x1", "island").agg(F.min("iz").alias("z0"), F.max("iz").alias("z1"))
-    return out.select("comp", "mode", "x0", "x1", "z0", "z1", ((F.col("x1") - F.col("x0") + 1) * (F.col("z1") - F.col("z0") + 1)).alias("cells"))
+    """Convex pieces of a component: maximal row runs of one clearance and floor band, merged downwards
+    while the next row has the same run. cells: comp, ix, iz, y, clearance.
+
+    Pieces end wherever the clearance changes; a band is floor_deviation high, so no rectangle's floor
+    varies by more. comp, clearance, mode, x0, x1, z0, z1, cells."""
+    rows = cells.withColumn("level", F.floor(F.col("y") / options.floor_deviation))
+    rows = with_island(rows, ["comp", "iz", "clearance", "level"], "ix", [])
+    runs = rows.groupBy("comp", "iz", "clearance", "level", "island").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    runs = with_island(runs.drop("island"), ["comp", "clearance", "level", "x0", "x1"], "iz", [])
+    out = runs.groupBy("comp", "clearance", "level", "x0", "x1", "island").agg(F.min("iz").alias("z0"), F.max("iz").alias("z1"))
+    mode = F.coalesce(movement_mode(F.col("clearance"), options), F.lit("none")).alias("mode")
+    return out.select("comp", "clearance", mode, "x0", "x1", "z0", "z1", ((F.col("x1") - F.col("x0") + 1) * (F.col("z1") - F.col("z0") + 1)).alias("cells"))

@@ -157,6 +157,22 @@ def merged_segments(x: list[float], z: list[float], label: list[bool], parts: li
     return out
 
 
+def line_stats(points: DataFrame, key: str) -> DataFrame:
+    """The least-squares line through the points (x, z) of each key: key, n, centre, direction, greatest
+    deviation and extent along the line."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, z = (list(c) for c in zip(*sorted(zip(table.column("x").to_pylist(), table.column("z").to_pylist(), strict=True)), strict=True))
+        line = joined_line(x, z, [*range(len(x))])
+        cx, cz, dx, dz = line.fit()
+        along = [(a - cx) * dx + (b - cz) * dz for a, b in zip(x, z, strict=True)]
+        row = {key: table.column(key)[0].as_py(), "n": len(x), "cx": cx, "cz": cz, "dx": dx, "dz": dz, "deviation": line.deviation(), "extent": max(along) - min(along)}
+        return pa.Table.from_pylist([row])
+
+    prepare(points.sparkSession)
+    return points.groupBy(key).applyInArrow(run, f"{key} bigint, n bigint, cx double, cz double, dx double, dz double, deviation double, extent double")
+
+
 SEGMENTS = "loop_id bigint, seg bigint, comp bigint, label boolean, n bigint, first_pos bigint, last_pos bigint, cx double, cz double, dx double, dz double, nx double, nz double, length double, bias double"
 
 

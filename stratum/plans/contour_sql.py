@@ -58,13 +58,19 @@ points AS MATERIALIZED (
 """
 
 
-def line(p: str, q: str, tag: str) -> str:
-    """Columns of the least-squares line through the points p to q of the lists xs, zs: centre, direction."""
-    t = tag
-    return f"""xs[{p}:{q}] AS px{t}, zs[{p}:{q}] AS pz{t}, len(px{t}) AS n{t}, [v - px{t}[1] for v in px{t}] AS u{t}, [v - pz{t}[1] for v in pz{t}] AS w{t},
-    list_sum(u{t}) AS su{t}, list_sum(w{t}) AS sw{t}, list_sum([v * v for v in u{t}]) AS uu{t}, list_sum([v * v for v in w{t}]) AS ww{t}, list_sum(list_transform(u{t}, lambda v, i: v * w{t}[i])) AS uw{t},
-    0.5::DOUBLE * atan2(2 * (uw{t} - su{t} * sw{t} / n{t}), (uu{t} - su{t} * su{t} / n{t}) - (ww{t} - sw{t} * sw{t} / n{t})) AS angle{t},
-    px{t}[1] + su{t} / n{t} AS cx{t}, pz{t}[1] + sw{t} / n{t} AS cz{t}, cos(angle{t}) AS dx{t}, sin(angle{t}) AS dz{t}"""
+def lines(source: str, *spans: tuple[str, str, str]) -> str:
+    """The source with the least-squares line of each span (first point, last point, tag) of the lists xs,
+    zs: points px, pz, their number n, centre cx, cz and direction dx, dz. One level for each step, as
+    an expression that a lambda uses would be worked out again for every element."""
+    each = lambda text: ", ".join(text.replace("{t}", t).replace("{p}", p).replace("{q}", q) for p, q, t in spans)
+    inner = f"SELECT *, {each('xs[{p}:{q}] AS px{t}, zs[{p}:{q}] AS pz{t}')} FROM ({source})"
+    inner = f"SELECT *, {each('len(px{t}) AS n{t}, px{t}[1] AS ox{t}, pz{t}[1] AS oz{t}')} FROM ({inner})"
+    inner = f"SELECT *, {each('[v - ox{t} for v in px{t}] AS u{t}, [v - oz{t} for v in pz{t}] AS w{t}')} FROM ({inner})"
+    sums = "list_sum(u{t}) AS su{t}, list_sum(w{t}) AS sw{t}, list_sum([v * v for v in u{t}]) AS uu{t}, list_sum([v * v for v in w{t}]) AS ww{t}, list_sum(list_transform(u{t}, lambda v, i: v * w{t}[i])) AS uw{t}"
+    inner = f"SELECT *, {each(sums)} FROM ({inner})"
+    angle = "0.5::DOUBLE * atan2(2 * (uw{t} - su{t} * sw{t} / n{t}), (uu{t} - su{t} * su{t} / n{t}) - (ww{t} - sw{t} * sw{t} / n{t})) AS angle{t}, ox{t} + su{t} / n{t} AS cx{t}, oz{t} + sw{t} / n{t} AS cz{t}"
+    inner = f"SELECT *, {each(angle)} FROM ({inner})"
+    return f"SELECT *, {each('cos(angle{t}) AS dx{t}, sin(angle{t}) AS dz{t}')} FROM ({inner})"
 
 
 def deviation(t: str) -> str:
@@ -83,24 +89,24 @@ lists AS MATERIALIZED (
 grown(loop_id, s, e) AS (
   SELECT loop_id, 1::BIGINT, 1::BIGINT FROM lists
   UNION ALL
-  SELECT loop_id, CASE WHEN fits THEN s ELSE e + 1 END, e + 1 FROM (
-    SELECT loop_id, s, e, {line("s", "e + 1", "")}, ls[e + 1] = ls[s] AND {deviation("")} <= {OPTIONS.fit_tol}::DOUBLE AS fits
-    FROM grown JOIN lists USING (loop_id) WHERE e < m)),
+  SELECT loop_id, CASE WHEN same AND {deviation("")} <= {OPTIONS.fit_tol}::DOUBLE THEN s ELSE e + 1 END, e + 1
+  FROM ({lines("SELECT loop_id, s, e, xs, zs, ls[e + 1] = ls[s] AS same FROM grown JOIN lists USING (loop_id) WHERE e < m", ("s", "e + 1", ""))})),
 fitted AS MATERIALIZED (SELECT loop_id, s, max(e) AS e, row_number() OVER (PARTITION BY loop_id ORDER BY s) AS q FROM grown GROUP BY loop_id, s),
 folded(loop_id, q, p, e) AS (
   SELECT loop_id, q, s, e FROM fitted WHERE q = 1
   UNION ALL
-  SELECT loop_id, q + 1, CASE WHEN joins THEN p ELSE s END, e2 FROM (
-    SELECT f.loop_id, f.q, p, n.s, n.e AS e2, {line("p", "f.e", "1")}, {line("n.s", "n.e", "2")}, {line("p", "n.e", "3")},
-      n1 >= 2 AND n2 >= 2 AND ls[p] = ls[n.s] AND (abs(dx1 * dx2 + dz1 * dz2) >= {math.cos(math.radians(OPTIONS.collinear_deg))!r}::DOUBLE OR {extent("2")} < {OPTIONS.min_seg_len}::DOUBLE)
-        AND {deviation("3")} <= {OPTIONS.fit_tol}::DOUBLE AS joins
-    FROM folded f JOIN fitted n ON n.loop_id = f.loop_id AND n.q = f.q + 1 JOIN lists l ON l.loop_id = f.loop_id)),
+  SELECT loop_id, q + 1, CASE WHEN n1 >= 2 AND n2 >= 2 AND same AND (abs(dx1 * dx2 + dz1 * dz2) >= {math.cos(math.radians(OPTIONS.collinear_deg))!r}::DOUBLE OR {extent("2")} < {OPTIONS.min_seg_len}::DOUBLE)
+      AND {deviation("3")} <= {OPTIONS.fit_tol}::DOUBLE THEN p ELSE s2 END, e2
+  FROM ({lines("SELECT f.loop_id, f.q, f.p, f.e, n.s AS s2, n.e AS e2, xs, zs, ls[f.p] = ls[n.s] AS same FROM folded f JOIN fitted n ON n.loop_id = f.loop_id AND n.q = f.q + 1 JOIN lists l ON l.loop_id = f.loop_id", ("p", "e", "1"), ("s2", "e2", "2"), ("p", "e2", "3"))})),
 kept_parts AS (SELECT loop_id, p, max(e) AS e FROM folded GROUP BY loop_id, p),
+oriented AS (
+  SELECT *, -dz_ * list_sum(nxs[p:e]) + dx_ * list_sum(nzs[p:e]) < 0 AS turned
+  FROM ({lines("SELECT * FROM kept_parts JOIN lists USING (loop_id)", ("p", "e", "_"))})),
+turned_in AS (SELECT *, CASE WHEN turned THEN dz_ ELSE -dz_ END AS nx_, CASE WHEN turned THEN -dx_ ELSE dx_ END AS nz_ FROM oriented),
 lined AS (
   SELECT loop_id, comp, row_number() OVER (PARTITION BY loop_id ORDER BY p) - 1 AS seg, ls[p] AS label, e - p + 1 AS n, ps[p] AS first_pos, ps[e] AS last_pos, xs[p] AS first_x, zs[p] AS first_z, xs[e] AS last_x, zs[e] AS last_z,
-    {line("p", "e", "_")}, -dz_ * list_sum(nxs[p:e]) + dx_ * list_sum(nzs[p:e]) < 0 AS turned, CASE WHEN turned THEN dz_ ELSE -dz_ END AS nx_, CASE WHEN turned THEN -dx_ ELSE dx_ END AS nz_,
-    {extent("_")} AS length_, greatest(0::DOUBLE, list_max(list_transform(px_, lambda v, i: (v - cx_) * nx_ + (pz_[i] - cz_) * nz_))) AS bias_
-  FROM kept_parts JOIN lists USING (loop_id)),
+    cx_, cz_, dx_, dz_, nx_, nz_, {extent("_")} AS length_, greatest(0::DOUBLE, list_max(list_transform(px_, lambda v, i: (v - cx_) * nx_ + (pz_[i] - cz_) * nz_))) AS bias_
+  FROM turned_in),
 segments AS MATERIALIZED (
   SELECT loop_id, comp, seg, label, n, first_pos, last_pos, first_x, first_z, last_x, last_z,
     {", ".join(f"CASE WHEN n >= 2 THEN {c}_ END AS {c}" for c in ("cx", "cz", "dx", "dz", "nx", "nz", "length", "bias"))} FROM lined)

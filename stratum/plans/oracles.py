@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .contour_sql import FIT, OFFSETS, POINTS, POLYGONS, RINGS, TRACE
+from .contour_sql import FIT, OFFSETS, POINTS, POLYGONS, RINGS, TRACE, deviation, extent, lines
 
 ORACLES: dict[str, str] = {}
 
@@ -353,13 +353,14 @@ ORACLES["agent_filter"] = with_(LATTICE, body="SELECT sid, clearance FROM nodes
 ORACLES["movement_mode"] = with_(LATTICE, body="SELECT CASE WHEN clearance >= 5 THEN 'walk' WHEN clearance >= 3 THEN 'crouch' WHEN clearance >= 1.5 THEN 'crawl' ELSE 'none' END AS mode, count(*) AS samples FROM nodes GROUP BY 1")
 ORACLES["giant_floor"] = with_(LATTICE, body="SELECT sid FROM nodes WHERE clearance >= 7")
 ORACLES["slope_split"] = with_(LATTICE, body="SELECT slope <= 65 AS npc, slope <= 40 AS player, count(*) AS samples FROM nodes GROUP BY 1, 2")
+MODE = "CASE WHEN clearance >= 5 THEN 'walk' WHEN clearance >= 3 THEN 'crouch' WHEN clearance >= 1.5 THEN 'crawl' ELSE 'none' END"
 ORACLES["floor_rectangles"] = with_(
     LATTICE, LCOMPS,
-    "moded AS (SELECT *, CASE WHEN clearance >= 5 THEN 'walk' WHEN clearance >= 3 THEN 'crouch' WHEN clearance >= 1.5 THEN 'crawl' ELSE 'none' END AS mode, floor(y / 2) AS level FROM cells)",
-    "row_isles AS (SELECT *, ix - row_number() OVER (PARTITION BY comp, iz, mode, level ORDER BY ix) AS isle FROM moded)",
-    "row_runs AS (SELECT comp, iz, mode, level, min(ix) AS x0, max(ix) AS x1 FROM row_isles GROUP BY comp, iz, mode, level, isle)",
-    "piles AS (SELECT *, iz - row_number() OVER (PARTITION BY comp, mode, level, x0, x1 ORDER BY iz) AS pile FROM row_runs)",
-    body="SELECT comp, mode, x0, x1, min(iz) AS z0, max(iz) AS z1, (x1 - x0 + 1) * (max(iz) - min(iz) + 1) AS cells FROM piles GROUP BY comp, mode, level, x0, x1, pile",
+    "levelled AS (SELECT *, floor(y / 2) AS level FROM cells)",
+    "row_isles AS (SELECT *, ix - row_number() OVER (PARTITION BY comp, iz, clearance, level ORDER BY ix) AS isle FROM levelled)",
+    "row_runs AS (SELECT comp, iz, clearance, level, min(ix) AS x0, max(ix) AS x1 FROM row_isles GROUP BY comp, iz, clearance, level, isle)",
+    "piles AS (SELECT *, iz - row_number() OVER (PARTITION BY comp, clearance, level, x0, x1 ORDER BY iz) AS pile FROM row_runs)",
+    body=f"SELECT comp, clearance, {MODE} AS mode, x0, x1, min(iz) AS z0, max(iz) AS z1, (x1 - x0 + 1) * (max(iz) - min(iz) + 1) AS cells FROM piles GROUP BY comp, clearance, level, x0, x1, pile",
 )
 
 # --- boxes -------------------------------------------------------------------
@@ -458,3 +459,93 @@ ORACLES["bake_runs"] = with_(
     body=f"""SELECT kind, 'floor-frame' AS source, count(*) AS runs, {r6('sum(length)', 'length')} FROM sized GROUP BY kind
 UNION ALL SELECT 'wall', 'footprint', count(*), round(sum(length), 6) + 0.0 FROM outline_runs HAVING count(*) > 0""",
 )
+
+# --- trees around the parts' own bounds ----------------------------------------
+
+ROOT = """
+bounds AS (
+  SELECT min(px - ax) - 2 AS x0, max(px + ax) + 2 AS x1, min(py - ay) - 2 AS y0, max(py + ay) + 2 AS y1, min(pz - az) - 2 AS z0, max(pz + az) + 2 AS z1 FROM spread),
+root AS (
+  SELECT pow(2, ceil(log2(greatest(x1 - x0, y1 - y0, z1 - z0)))) AS edge, (x0 + x1) / 2 - edge / 2 AS rx, (y0 + y1) / 2 - edge / 2 AS ry, (z0 + z1) / 2 - edge / 2 AS rz FROM bounds),
+reached AS (
+  SELECT s.*, rx, ry, rz, ix, iy, iz FROM spread s CROSS JOIN root
+  CROSS JOIN LATERAL (SELECT unnest(range(ceil(px - ax - rx)::BIGINT - 1, floor(px + ax - rx)::BIGINT + 1)) AS ix)
+  CROSS JOIN LATERAL (SELECT unnest(range(ceil(py - ay - ry)::BIGINT - 1, floor(py + ay - ry)::BIGINT + 1)) AS iy)
+  CROSS JOIN LATERAL (SELECT unnest(range(ceil(pz - az - rz)::BIGINT - 1, floor(pz + az - rz)::BIGINT + 1)) AS iz))
+"""
+BOXES_ONLY = BOXES[: BOXES.index("filled AS")].rstrip().rstrip(",")
+UPRIGHT = "spread AS (SELECT part_id, px, py, pz, hx AS ax, hy AS ay, hz AS az FROM parts)"
+FILLED = "filled AS MATERIALIZED (SELECT DISTINCT ix, iy, iz FROM reached), f7 AS (SELECT * FROM filled)"
+ROOTED_SURFELS = (
+    SURFELS.replace("(iy + 1) * (128 // (1 << depth)) - 8 AS top FROM leaves", "(iy + 1) * (128 // (1 << depth)) + ry AS top, rx, rz, (iy + 1) * (128 // (1 << depth)) AS cell_y FROM leaves CROSS JOIN root")
+    .replace("ix * e - 8 + i AS x, iz * e - 8 + j AS z", "ix * e + rx + i AS x, iz * e + rz + j AS z, ix * e + i AS cell_x, iz * e + j AS cell_z")
+    .replace("f.ix = c.x + 8 AND f.iy = c.top + 8 AND f.iz = c.z + 8", "f.ix = c.cell_x AND f.iy = c.cell_y AND f.iz = c.cell_z")
+)
+ORACLES["bake_floor_samples"] = with_(
+    BOXES_ONLY, UPRIGHT, ROOT, FILLED, LEVELS, LEAVES, ROOTED_SURFELS,
+    body=f"SELECT x + 0.5::DOUBLE AS px, y AS py, z + 0.5::DOUBLE AS pz, 0.0::DOUBLE AS slope, {r6('coalesce(roof, 20)', 'clearance')}, part_id FROM samples",
+)
+ORACLES["bake_tree"] = with_(
+    BOXES_ONLY, UPRIGHT, ROOT, FILLED, LEVELS, LEAVES,
+    body="SELECT (depth + log2(edge) - 7)::INT AS depth, count(*) AS leaves, rx AS root_x, ry AS root_y, rz AS root_z, edge FROM leaves CROSS JOIN root GROUP BY ALL",
+)
+SOLIDS = """
+solid_rows AS (
+  SELECT s_suppkey::BIGINT AS part_id, s_suppkey % 3 AS kind, ((s_suppkey * 29) % 50 + 4.263)::DOUBLE AS px, (((s_suppkey * 7) % 4) * 4 + 2.25)::DOUBLE AS py, ((s_suppkey * 43) % 50 + 4.271)::DOUBLE AS pz,
+    (1.5 + s_suppkey % 4)::DOUBLE AS hx, (0.5 + (s_suppkey % 3) * 0.5)::DOUBLE AS hy, (1.5 + (s_suppkey // 4) % 3)::DOUBLE AS hz FROM supplier
+  UNION ALL SELECT -1, 1, 0.5, 0.5, 60.5, 0.5, 0.5, 0.5
+  UNION ALL SELECT -2, 1, 60.5, 0.5, 0.5, 0.5, 0.5, 0.5),
+spread AS (
+  SELECT *, CASE kind WHEN 2 THEN 0.6::DOUBLE * hx + 0.8::DOUBLE * hz ELSE hx END AS ax, CASE kind WHEN 0 THEN hx ELSE hy END AS ay, CASE kind WHEN 0 THEN hx WHEN 2 THEN 0.8::DOUBLE * hx + 0.6::DOUBLE * hz ELSE hz END AS az FROM solid_rows)
+"""
+ORACLES["solid_leaves"] = with_(
+    SOLIDS, ROOT,
+    "centred AS (SELECT *, ix + 0.5 + rx - px AS dx, iy + 0.5 + ry - py AS dy, iz + 0.5 + rz - pz AS dz FROM reached)",
+    """filled AS MATERIALIZED (
+  SELECT DISTINCT ix, iy, iz FROM centred WHERE CASE kind
+    WHEN 0 THEN greatest(abs(dx) - 0.5, 0) + greatest(abs(dy) - 0.5, 0) + greatest(abs(dz) - 0.5, 0) <= hx
+    WHEN 1 THEN abs(dx) <= hx + 0.5 AND abs(dy) <= hy + 0.5 AND abs(dz) <= hz + 0.5
+    ELSE abs(dx) <= ax + 0.5 AND abs(dy) <= hy + 0.5 AND abs(dz) <= az + 0.5 AND abs(dx * 0.6 + dz * 0.8) <= hx + 0.7 AND abs(dz * 0.6 - dx * 0.8) <= hz + 0.7 END)""",
+    "f7 AS (SELECT * FROM filled)", LEVELS, LEAVES,
+    body="SELECT depth::INT AS depth, ix, iy, iz FROM leaves",
+)
+ORACLES["block_parts"] = with_(SOLIDS, body="SELECT part_id, kind <> 0 AS is_block FROM solid_rows")
+INSTANCES = """
+tree AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 3 END AS parent,
+    CASE WHEN o_orderkey = 0 THEN 'Workspace' WHEN o_orderkey % 41 = 5 THEN 'Humanoid' WHEN o_orderkey % 5 = 1 THEN 'Model' ELSE 'Part' END AS class FROM orders),
+bodies AS (SELECT DISTINCT m.id FROM tree m JOIN tree h ON h.parent = m.id WHERE m.class = 'Model' AND h.class = 'Humanoid'),
+under(id) AS (SELECT t.id FROM tree t JOIN bodies b ON t.parent = b.id UNION SELECT t.id FROM tree t JOIN under u ON t.parent = u.id)
+"""
+ORACLES["character_parts"] = with_(INSTANCES, body="SELECT id AS instance_id FROM under")
+ORACLES["character_scan"] = with_(BOXES_ONLY, INSTANCES, body="SELECT part_id, name FROM parts WHERE greatest(2 * hx, 2 * hz) <= 8 AND part_id NOT IN (SELECT id FROM under)")
+
+# --- small operators -------------------------------------------------------------
+
+ORACLES["floor_columns"] = with_(LATTICE, body="SELECT ix, iz, count(*) AS samples, min(y) AS lowest FROM nodes GROUP BY ix, iz")
+ORACLES["grid_axes"] = with_(
+    GRID, "world AS (SELECT *, grid_id % 11 = 4 OR grid_id % 7 <> 0 AND grid_id % 6 = 5 AS plain FROM live)",
+    body="SELECT cell_id, CASE WHEN plain THEN 1 ELSE ux END::DOUBLE AS ux, CASE WHEN plain THEN 0 ELSE uz END::DOUBLE AS uz, CASE WHEN plain THEN 0 ELSE -uz END::DOUBLE + 0.0 AS vx, CASE WHEN plain THEN 1 ELSE ux END::DOUBLE AS vz, 1.0::DOUBLE AS ny FROM world",
+)
+ORACLES["line_crossings"] = with_(
+    """lines AS (
+  SELECT o_orderkey AS pair_id, (o_orderkey % 10)::DOUBLE AS ax, (o_custkey % 10)::DOUBLE AS az, (1 + o_orderkey % 3)::DOUBLE AS adx, (o_custkey % 4 - 1)::DOUBLE AS adz,
+    (o_orderkey * 7 % 10)::DOUBLE AS bx, (o_custkey * 3 % 10)::DOUBLE AS bz, (o_custkey % 3 - 1)::DOUBLE AS bdx, (1 + o_orderkey % 2)::DOUBLE AS bdz FROM orders)""",
+    "met AS (SELECT *, adx * bdz - adz * bdx AS den, ((bx - ax) * bdz - (bz - az) * bdx) / nullif(den, 0) AS t FROM lines)",
+    body=f"SELECT pair_id, {r6('ax + adx * t', 'x')}, {r6('az + adz * t', 'z')} FROM met",
+)
+ORACLES["row_lines"] = with_(
+    LATTICE, "rows_ AS (SELECT iz, list(ix + 0.5::DOUBLE ORDER BY ix) AS xs, list(iz + 0.5::DOUBLE + y ORDER BY ix) AS zs FROM nodes GROUP BY iz)",
+    f"fits AS (SELECT *, {deviation('')} AS deviation, {extent('')} AS extent FROM ({lines('SELECT * FROM rows_', ('1', 'len(xs)', ''))}))",
+    body=f"SELECT iz, n, {', '.join(map(r6, ('cx', 'cz', 'dx', 'dz', 'deviation', 'extent')))} FROM fits",
+)
+ORACLES["merged_options"] = """
+SELECT stage, name, value::DOUBLE AS value FROM (VALUES
+  ('floor', 'leaf', 1), ('floor', 'max_slope', 50), ('floor', 'agent_height', 5), ('floor', 'clear_cap', 20), ('floor', 'max_ground_footprint', 400), ('floor', 'margin', 2),
+  ('lattice', 'radius', 2), ('lattice', 'fit_tol', 1), ('lattice', 'step_tol', 2), ('lattice', 'narrow_margin', 0.25), ('lattice', 'miter_limit', 4), ('lattice', 'min_seg_len', 2), ('lattice', 'collinear_deg', 8),
+  ('lattice', 'probe_cap', 12), ('lattice', 'offset_band', 0.5), ('lattice', 'min_run_len', 6), ('lattice', 'dropoff_outset', 0.5), ('lattice', 'label_min_run', 3),
+  ('grid', 'step', 2), ('grid', 'surface_eps', 0.25), ('grid', 'seam_pad', 0.08), ('grid', 'cover_pad', 0.001), ('grid', 'wall_drop', 3), ('grid', 'wall_rise', 1), ('grid', 'min_clearance', 1.5),
+  ('grid', 'stitch_gap', 2.5), ('grid', 'vertex_eps', 0.05)) t(stage, name, value)"""
+ORACLES["snapshot_files"] = with_(
+    LATTICE, body="SELECT v::INT AS version, (ix + 0.5)::DOUBLE AS px, y AS py, (iz + 0.5)::DOUBLE AS pz, clearance, CASE v WHEN 2 THEN blocked ELSE 0 END::INT AS blocked FROM nodes CROSS JOIN (VALUES (1), (2)) f(v)"
+)

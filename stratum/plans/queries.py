@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AgentOptions, GridOptions, LatticeOptions
+from ..config import AgentOptions, FloorOptions, GridOptions, LatticeOptions
 from ..functions import geometry as g
 from ..functions import vectors as v
 from ..operators import agents, closure, contour, gridbounds, lattice, octree, surface
 from ..operators.bucket import covering_cell
-from ..runtime import materialize
+from ..runtime import materialize, scratch_path
 from ..sources import snapshot
 from . import scenes
 
@@ -430,6 +430,97 @@ def bake_runs(spark: SparkSession, d: str) -> DataFrame:
     return gridbounds.run_stats(runs).select("kind", "source", "runs", r6("length").alias("length"))
 
 
+@query
+def bake_floor_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Scan filter, octree around the parts' own bounds and surface samples in one call."""
+    rows, _, _ = surface.bake_floor(scenes.boxes(spark, d))
+    return rows.select("px", "py", "pz", r6("slope").alias("slope"), r6("clearance").alias("clearance"), "part_id")
+
+
+@query
+def bake_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves by depth of the tree that a bake builds, with its root."""
+    leaves, root = octree.build(scenes.boxes(spark, d))
+    at = [F.lit(x).alias(f"root_{k}") for x, k in zip((root.x, root.y, root.z), "xyz", strict=True)]
+    return leaves.groupBy("depth").agg(F.count("*").alias("leaves")).select("depth", "leaves", *at, F.lit(root.edge).alias("edge"))
+
+
+@query
+def solid_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of upright and turned blocks and of octahedra, whose inside is filled."""
+    parts = scenes.solids(spark, d)
+    return octree.build(parts, scenes.solid_triangles(parts))[0].select("depth", "ix", "iy", "iz")
+
+
+@query
+def block_parts(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.solids(spark, d).select("part_id", octree.is_block(F.col("shape")).alias("is_block"))
+
+
+@query
+def character_parts(spark: SparkSession, d: str) -> DataFrame:
+    return surface.characters(scenes.instances(spark, d))
+
+
+@query
+def character_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that are no character by the instance tree and pass the scan filter."""
+    found = surface.characters(scenes.instances(spark, d)).select(F.col("instance_id").alias("part_id"), F.lit(True).alias("found"))
+    parts = scenes.boxes(spark, d).drop("is_character").join(found, "part_id", "left").withColumn("is_character", F.coalesce("found", F.lit(False)))
+    return surface.gather_parts(parts, FloorOptions(max_ground_footprint=8.0)).select("part_id", "name")
+
+
+# --- small operators ---------------------------------------------------------
+
+
+@query
+def floor_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and lowest floor of every floor cell."""
+    rows = lattice.lattice(scenes.world_lattice(spark, d).withColumn("px", F.col("px") - 0.25))
+    return rows.groupBy("ix", "iz").agg(F.count("*").alias("samples"), F.min("y").alias("lowest"))
+
+
+@query
+def grid_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with the axes of their grid; grids without usable ones take the world's."""
+    cells = scenes.live_cells(spark, d).select("cell_id", "grid_id")
+    return gridbounds.framed(cells, scenes.grid_frames(spark, d)).select("cell_id", *r6s("ux", "uz", "vx", "vz", "ny"))
+
+
+@query
+def line_crossings(spark: SparkSession, d: str) -> DataFrame:
+    names = ("ax", "az", "adx", "adz", "bx", "bz", "bdx", "bdz")
+    x, z = g.line_intersection(*[F.col(c) for c in names])
+    return scenes.crossing_lines(spark, d).select("pair_id", r6(x).alias("x"), r6(z).alias("z"))
+
+
+@query
+def row_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The line through each lattice row with its greatest deviation and its extent."""
+    rows = scenes.world_lattice(spark, d).select(F.floor("pz").alias("iz"), F.col("px").alias("x"), (F.col("pz") + F.col("py")).alias("z"))
+    return contour.line_stats(rows, "iz").select("iz", "n", *r6s("cx", "cz", "dx", "dz", "deviation", "extent"))
+
+
+@query
+def merged_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options of the three bakes with some fields overridden, one row per number."""
+    given = {"floor": FloorOptions().over(max_slope=50.0), "lattice": LATTICE.over(radius=2.0, min_run_len=6), "grid": GRID.over(step=2.0)}
+    rows = [(stage, k, float(x)) for stage, o in given.items() for k, x in vars(o).items() if isinstance(x, (int, float))]
+    return spark.createDataFrame(rows, "stage string, name string, value double")
+
+
+@query
+def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as snapshot files of both versions and read back."""
+    rows, out = scenes.world_lattice(spark, d), None
+    for version in (1, 2):
+        path = scratch_path(spark)
+        snapshot.write_snapshot(rows, path, version)
+        back = snapshot.read_snapshot(spark, path).withColumn("version", F.lit(version))
+        out = back if out is None else out.unionByName(back)
+    return out.select("version", "px", "py", "pz", "clearance", "blocked")
+
+
 # --- agents ------------------------------------------------------------------
 
 

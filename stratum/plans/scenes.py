@@ -81,3 +81,56 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("sid"), (k % 60 + 0.5).alias("px"), ((c % 4) * 3.0 + 1.0).alias("py"), (F.expr("(o_orderkey div 60) % 60") + 0.5).alias("pz"),
         (k % 60 + 0.5).alias("qx"), ((c % 12) + 0.5).alias("qy"), (F.expr("(o_orderkey div 60) % 60") + 0.5).alias("qz"),
     )
+
+
+#: Two small blocks that give the scene of solids its extent at every scale.
+ANCHORS = ((-1, 0.5, 60.5), (-2, 60.5, 0.5))
+
+
+def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of three kinds: octahedra (no readable shape), upright blocks and blocks turned by a 3-4-5
+    angle. Centres lie off every border, so no test depends on rounding."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("s"))
+    s = F.col("s")
+    kind = s % 3
+    centre = ((s * 29) % 50 + 4.263, ((s * 7) % 4) * 4 + 2.25, (s * 43) % 50 + 4.271)
+    size = [F.when(kind == 0, F.lit(3.0) + s % 4 * 2).otherwise(x.cast("double")) for x in (3.0 + s % 4 * 2, 1.0 + s % 3, 3.0 + F.expr("(s div 4) % 3") * 2)]
+    turned = lambda a, b: F.when(kind == 2, a).otherwise(b).cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    parts = rows.select(
+        s.alias("part_id"), F.concat(F.lit("Solid-"), s.cast("string")).alias("name"), F.lit("Part").alias("class"), F.when(kind != 0, "Block").alias("shape"),
+        F.lit(True).alias("can_collide"), F.lit(False).alias("is_character"), *v.named(tuple(c.cast("double") for c in centre), "p"),
+        *v.named((turned(0.6, 1.0), zero, turned(0.8, 0.0)), "r"), *v.named((zero, one, zero), "u"), *v.named((turned(-0.8, 0.0), zero, turned(0.6, 1.0)), "l"), *v.named(tuple(size), "s"),
+    )
+    fixed = [(k, f"Anchor{k}", "Part", "Block", True, False, x, 0.5, z, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0) for k, x, z in ANCHORS]
+    return parts.unionByName(spark.createDataFrame(fixed, parts.schema))
+
+
+def solid_triangles(parts: DataFrame) -> DataFrame:
+    """The eight faces of every octahedron: part_id, a, b, c."""
+    tips = F.explode(F.array(*[F.struct(*[F.lit(float(t)).alias(k) for t, k in zip((x, y, z), "xyz", strict=True)]) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)]))
+    rows = parts.where("shape is null").select("part_id", *[f"p{k}" for k in "xyz"], (F.col("sx") * 0.5).alias("reach"), tips.alias("t"))
+    corner = lambda k: [(F.col(f"p{x}") + (F.col(f"t.{x}") * F.col("reach") if x == k else F.lit(0.0))) for x in "xyz"]
+    return rows.select("part_id", *v.named(tuple(corner("x")), "a"), *v.named(tuple(corner("y")), "b"), *v.named(tuple(corner("z")), "c"))
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instance tree with models, some of which have a humanoid: instance_id, parent_id, class."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 41 == 5, "Humanoid").when(k % 5 == 1, "Model").otherwise("Part")
+    return orders(spark, sf_dir).select(k.alias("instance_id"), F.when(k > 0, F.expr("(o_orderkey - 1) div 3")).alias("parent_id"), F.when(k == 0, "Workspace").otherwise(kind).alias("class"))
+
+
+def crossing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of lines with whole points and directions, some of them parallel."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    whole = {"ax": k % 10, "az": c % 10, "adx": 1 + k % 3, "adz": c % 4 - 1, "bx": k * 7 % 10, "bz": c * 3 % 10, "bdx": c % 3 - 1, "bdz": 1 + k % 2}
+    return orders(spark, sf_dir).select(k.alias("pair_id"), *[x.cast("double").alias(n) for n, x in whole.items()])
+
+
+def grid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the grids; some are marked as fallback, some have no axes."""
+    g = F.col("grid_id")
+    frame = grid_samples(spark, sf_dir).select("grid_id", *[f"{a}{x}" for a in "uvn" for x in "xyz"]).distinct()
+    lost = g % 11 == 4
+    return frame.select("grid_id", *[F.when(~lost, F.col(f"{a}{x}")).alias(f"{a}{x}") for a in "uv" for x in "xyz"], "nx", "ny", "nz", F.when(g % 7 != 0, g % 6 == 5).alias("fallback"))

@@ -30,11 +30,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file:///tmp/stratum-checkpoints"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the scratch folder."""
+    return f"{scratch_dir(spark)}/stratum-{uuid.uuid4().hex}"
+
+
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back.
 
     The files outlive any executor, so a lost one never forces the stages above to rerun."""
-    path = f"{scratch_dir(spark)}/stratum-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -36,10 +36,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Read a snapshot folder of this writer, or one plain snapshot file of either version."""
-    try:
-        head = spark.read.text(f"{path}/0-header")
-        lines = spark.read.text(f"{path}/1-samples")
-    except Exception:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/0-header")
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        head, lines = spark.read.text(f"{path}/0-header"), spark.read.text(f"{path}/1-samples")
+    else:
         head = lines = spark.read.text(path)
     if not head.where(F.col("value").isin(MAGIC_V1, MAGIC_V2)).limit(1).count():
         raise ValueError("not a sample snapshot")
