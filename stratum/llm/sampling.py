@@ -4,16 +4,18 @@ Terms are the lower-cased words of a text, weighted 1 + ln(count). For every ter
 number, hashes give r and c (gamma distributed with shape 2) and beta (uniform). With
 t = floor(ln(weight) / r + beta) the sample of a text is the term of least
 ln(c) - r * (t - beta + 1), together with t: two texts draw the same sample with a probability
-equal to their generalised Jaccard similarity. A fingerprint holds 16 such samples.
+equal to their generalised Jaccard similarity. A fingerprint holds SAMPLES of them.
 
-One shuffle deals the documents into ranges of ids, so that the next document is a window
-function away and every later grouping (by range and document) finds its rows in place. The
-last document of a range gets the first one of the next range through a table of range heads.
+One shuffle deals the documents into ranges of ids, one range to a task, with the first document
+of the next range as a visitor at the end. So the next document is a window function away, and
+every later grouping (by range and document) finds its rows in place. The ranges hold about equal
+numbers of rows, however uneven the ids: their bounds are quantiles of the ids, and rows of one id
+or of none are cut by a hash of the text.
 
 Defined results: null texts count as empty; a text without words has an empty fingerprint, alike
 to another empty one (1.0) and to no other (0.0); the edit of a text shorter than four code
-points changes nothing; ids are ordered ascending, null first, ties by text; repeated rows each
-get a row; a single document is its own next.
+points changes nothing; ids are whole numbers, ordered ascending, null first, ties by a hash of the
+text; repeated rows each get a row; a single document is its own next.
 """
 
 from __future__ import annotations
@@ -21,36 +23,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-SAMPLES = 16
+SAMPLES = 32
 LANES = 4
-#: Documents that share one range of ids, about.
+#: Documents that share one range of ids, about, and most ranges; larger ranges are spilled sorts.
 RANGE_ROWS = 4000
+MOST_RANGES = 10_000
 #: What of ln(a) is kept below the decimal point, and bits of a sample's name.
 STEPS, NAME_BITS = 1 << 20, 24
 
 
+def ranged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """bin of every row (doc_id, h, ...) and the number of bins. Bins are numbered from 0 in the
+    order of (doc_id, h), and none is empty."""
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    low, part = ends.low if ends.low is not None else 0, F.col("h") / F.lit(float(1 << 32))
+    # never falls in the order of (doc_id, h): whole numbers stay exact, or go without the hash
+    above = (F.col("doc_id") - F.lit(low)).cast("double") + 1
+    exact = ends.high is None or ends.high - low < 1 << 53
+    key = F.when(F.col("doc_id").isNull(), part).otherwise(above * (1 << 32) + F.col("h") if exact else above)
+    rows = rows.withColumn("key", key)
+    count = min(MOST_RANGES, -(-ends.n // RANGE_ROWS))
+    cuts: list[float] = []
+    if count > 1:
+        found = rows.agg(F.min("key").alias("least"), F.percentile_approx("key", [k / count for k in range(1, count)], 20 * count).alias("cuts")).first()
+        cuts = sorted({x for x in found.cuts if x > found.least})
+    # a cut is found among every tenth or so, then inside that stretch
+    step = max(1, int(len(cuts) ** 0.5))
+    stretches = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    at = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<double>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("key")))
+    if not cuts:
+        return rows.withColumn("bin", F.lit(0)), 1
+    rows = rows.withColumn("stretch", F.greatest(below(at([x[0] for x in stretches])) - 1, F.lit(0)))
+    inside = F.element_at(F.array(*[at(x) for x in stretches]), F.col("stretch") + 1)
+    # never null, so that the plan needs no filter on it and both readers share one shuffle
+    return rows.withColumn("bin", F.coalesce((F.col("stretch") * step + below(inside)).cast("int"), F.lit(0))), len(cuts) + 1
+
+
 def dealt(docs: DataFrame) -> DataFrame:
-    """bin, doc_id, text, next (text of the next document) of every row."""
-    spark = docs.sparkSession
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    bins = max(1, -(-ends.n // RANGE_ROWS))
-    low = ends.low if ends.low is not None else 0
-    width = max(1, -(-((ends.high if ends.high is not None else 0) - low + 1) // bins))
-    rows = docs.select(
-        F.coalesce(F.floor((F.col("doc_id") - low) / width).cast("int"), F.lit(0)).alias("bin"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
-    # heads of the ranges: one row each, of which only a successor's text is ever needed
-    least = rows.groupBy("bin").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("head"))
-    heads = materialize(spark, least.select("bin", F.col("head.text").alias("head")))
-    order = Window.orderBy("bin")  # one row for each range of about RANGE_ROWS documents
-    follow = heads.select("bin", F.lead("bin").over(order).alias("after"), F.min("bin").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("start"))
-    follow = follow.select("bin", F.coalesce("after", "start").alias("after"))
-    follow = follow.join(heads.select(F.col("bin").alias("after"), "head"), "after").select("bin", "head")
-    own = Window.partitionBy("bin").orderBy("doc_id", "text")
-    placed = rows.repartition(bins, "bin").withColumn("place", F.row_number().over(own)).withColumn("lead", F.lead("text").over(own))
-    return placed.join(follow, "bin", "left")
+    """bin, place, visitor, doc_id, text, lead (text of the next document) of every row; a visitor is
+    the next bin's first row, shown once more at the end."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("h"))
+    rows, bins = ranged(rows)
+    rows = rows.select("bin", F.lit(False).alias("visitor"), "doc_id", "h", "text")
+    head = rows.groupBy("bin").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h", "text")).alias("head"))
+    heads = head.select(F.coalesce(F.pmod(F.col("bin") - 1, F.lit(bins)).cast("int"), F.lit(0)).alias("bin"), F.lit(True).alias("visitor"), "head.doc_id", "head.h", "head.text")
+    own = Window.partitionBy("bin").orderBy("visitor", "doc_id", "h", "text")
+    placed = rows.unionByName(heads).repartitionById(bins, "bin")
+    return placed.withColumn("place", F.row_number().over(own)).withColumn("lead", F.lead("text").over(own))
 
 
 def drawn(term: Column, weight: Column, k: Column) -> Column:
@@ -90,20 +111,16 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     rows = dealt(docs.select("doc_id", "text"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    follower = F.coalesce("lead", "head", "text")
-    both = rows.select("bin", "place", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(follower, F.lit(1), cut)).alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("lead", F.lit("")), F.lit(1), cut))
+    both = rows.select("bin", "place", "visitor", "doc_id", "text", n.cast("long").alias("n_chars"), F.when(~F.col("visitor"), edited).alias("edited"))
     sides = both.select("bin", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprints(sides.select("bin", "place", F.col("x.side").alias("side"), F.col("x.text").alias("text")), ["bin", "place", "side"])
+    prints = fingerprints(sides.select("bin", "place", F.col("x.side").alias("side"), F.col("x.text").alias("text")).where("text is not null"), ["bin", "place", "side"])
     pairs = prints.groupBy("bin", "place").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("e"))
-    whole = both.select("bin", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(pairs, ["bin", "place"], "left")
-    whole = materialize(docs.sparkSession, whole.select("bin", "place", "doc_id", "n_chars", "edited_sha256", F.coalesce("f", F.lit("")).alias("fingerprint"), F.coalesce("e", F.lit("")).alias("edited_fingerprint")))
-    firsts = whole.where("place = 1").select("bin", F.col("fingerprint").alias("head"))
-    order = Window.orderBy("bin")
-    after = firsts.select("bin", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
-    lead = whole.withColumn("lead", F.lead("fingerprint").over(Window.partitionBy("bin").orderBy("place")))
-    lead = lead.join(after, "bin", "left")
-    return lead.select(
+    whole = both.select("bin", "place", "visitor", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(pairs, ["bin", "place"], "left")
+    whole = whole.withColumn("fingerprint", F.coalesce("f", F.lit(""))).withColumn("edited_fingerprint", F.coalesce("e", F.lit("")))
+    after = whole.withColumn("after", F.lead("fingerprint").over(Window.partitionBy("bin").orderBy("place")))
+    return after.where("not visitor").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.coalesce("lead", "head")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
     )
