@@ -29,6 +29,10 @@ from .common import map_batches, prepare, remembers
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: A plain word before one of these is one piece, and the mark another.
+ENDS = frozenset(".,;:!?")
+#: Bits of an id.
+ID_BITS = 20
 #: Longer words use a heap instead of scans, which would be quadratic in the word.
 SHORT_WORD = 256
 #: Words remembered per Python worker before the map starts afresh.
@@ -58,10 +62,12 @@ class WordBpe:
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.joint = {a << ID_BITS | b: rank << ID_BITS | new for (a, b), (rank, new) in self.pairs.items()}
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.space = re.compile(f"[{SPACE}]+")
         #: str.split() also parts at these; the vocabulary's white space does not.
@@ -70,20 +76,22 @@ class WordBpe:
         self.split = regex.compile(SPLIT)
 
     def merge_short(self, parts: list[int]) -> list[int]:
-        """Repeatedly delete the boundary of lowest rank (leftmost on ties) until none is left."""
-        pairs = self.pairs
-        ranks = [pairs.get(p, (NO_RANK, 0))[0] for p in zip(parts, parts[1:], strict=False)]
+        """Repeatedly delete the boundary of lowest rank (leftmost on ties) until none is left.
+
+        A rank is held with the id that its pair becomes, so a merge needs no second look."""
+        get, shift, mask = self.joint.get, ID_BITS, (1 << ID_BITS) - 1
+        ranks = [get(a << shift | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             best = min(ranks)
             if best == NO_RANK:
                 break
             i = ranks.index(best)
-            parts[i] = pairs[parts[i], parts[i + 1]][1]
+            new = parts[i] = best & mask
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), (NO_RANK, 0))[0]
+                ranks[i - 1] = get(parts[i - 1] << shift | new, NO_RANK)
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), (NO_RANK, 0))[0]
+                ranks[i] = get(new << shift | parts[i + 1], NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -115,19 +123,26 @@ class WordBpe:
     def encode_word(self, word: str) -> bytes:
         """Ids of a normalized run without white space, which may hold several pieces,
         as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        known = self.pieces
-        for piece in [word] if word.isascii() and word.isalpha() else self.split.findall(word):
-            got = known.get(piece)
-            if got is None:
-                got = self.encode_piece(piece)
-                if len(piece) <= SHORT_WORD:
-                    known[piece] = got
-            ids += got
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.words) + len(known) >= MEMORY_WORDS:
-            self.words.clear()
-            known.clear()
+        packed = self.older.get(word)
+        if packed is None:
+            if word.isascii() and word.isalpha():
+                ids = self.encode_piece(word)
+            else:
+                ids, known = [], self.pieces
+                plain = word[-1] in ENDS and word[:-1].isascii() and word[:-1].isalpha()
+                for piece in (word[:-1], word[-1]) if plain else self.split.findall(word):
+                    got = known.get(piece)
+                    if got is None:
+                        got = self.encode_piece(piece)
+                        if len(piece) <= SHORT_WORD:
+                            known[piece] = got
+                    ids += got
+                if len(known) >= MEMORY_WORDS // 4:
+                    known.clear()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        # words not met for a whole generation are forgotten; frequent ones move on
+        if len(self.words) >= MEMORY_WORDS * 3 // 8:
+            self.older, self.words = self.words, {}
         if len(word) <= SHORT_WORD:
             self.words[word] = packed
         return packed
@@ -153,12 +168,12 @@ class WordBpe:
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        known, word_ids = self.words.get, self.encode_word
+        word_ids = self.encode_word
         for part in self.parts(text or ""):
             if isinstance(part, int):
                 out.append(struct.pack("<I", part))
                 continue
-            out += [known(w) or word_ids(w) for w in self.normalized_words(part)]
+            out += [self.words.get(w) or word_ids(w) for w in self.normalized_words(part)]
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
