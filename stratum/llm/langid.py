@@ -7,7 +7,8 @@ count is corrected for that language's false-positive rate, and the largest deci
 
 Defined results: `und` with score 0.0 for a null text, a text without a letter, or when no
 labelled row was there to learn from; a text with letters of which no n-gram is known gets the
-most frequent learned language with score 0.0; ties go to the alphabetically first language.
+most frequent learned language with score 0.0; ties go to the alphabetically first language. Every
+language with a labelled row is learned, however rare. A null id counts as held out.
 Whole texts are read; repeated rows and extra columns do not matter.
 """
 
@@ -27,16 +28,18 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """sample_rows: labelled rows to learn from, expected number; grams: n-gram sizes in
-    letters; min_share: share of a language's sampled texts an n-gram must occur in;
-    contrast: least ratio of that share to the n-gram's largest share in any language;
-    max_grams: n-grams kept per language, most widespread first; bits: log2 of the filter's
-    positions; hashes: positions per n-gram."""
-
-    sample_rows: int = 12_000
+    """sample_rows: labelled rows to learn from per language, expected number, of which equal texts
+    count once; grams: n-gram sizes in letters; min_share: share of a language's sampled texts an
+    n-gram must occur in; contrast: least ratio of that share to the n-gram's largest share in any
+    language; few: with fewer sampled texts a language keeps all its n-grams, whatever their share,
+    and has no say in the contrast of others; max_grams: n-grams kept per language, most widespread
+    first; bits: log2 of the filter's positions; hashes: positions per n-gram."""
+
+    sample_rows: int = 3_000
     grams: tuple[int, ...] = (3, 4)
     min_share: float = 0.002
     contrast: float = 0.3
+    few: int = 50
     max_grams: int = 30_000
     bits: int = 20
     hashes: int = 3
@@ -126,22 +129,24 @@ class LanguageFilters:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that must not be learned from: crc32 of the id as text divisible by five."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Rows that must not be learned from: crc32 of the id as text divisible by five, or no id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
 def fit(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageFilters:
-    """Learn from rows (text, lang). Of many rows about config.sample_rows are used, chosen by a
-    hash of the text so that every run and every layout picks the same ones.
+    """Learn from rows (text, lang). Of a language with many rows about config.sample_rows are used,
+    chosen by a hash of the text so that every run and every layout picks the same ones; equal
+    texts of a language count once.
 
     N-gram document frequencies are summed per task before the shuffle; the driver receives at
     most max_grams hashes per language."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    if total > config.sample_rows:
-        kept = int(config.sample_rows / total * (1 << 32))
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < kept)
+    shares = [(lang, int(min(1.0, config.sample_rows / n) * (1 << 32))) for lang, n in sizes.items()]
+    kept = rows.sparkSession.createDataFrame(shares, "lang string, kept bigint")  # one row per language
+    h = F.xxhash64("text")
+    rows = rows.join(F.broadcast(kept), "lang").where(F.pmod(h, F.lit(1 << 32)) < F.col("kept"))
+    rows = rows.groupBy("lang", h.alias("h")).agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by: dict[str, list[np.ndarray]] = {}
@@ -168,16 +173,18 @@ def fit(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageF
     grams = map_batches(rows, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     texts = grams.where("gram is null").select("lang", F.col("n").alias("texts"))
     widest = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    rare = F.col("texts") < config.few
     known = (
         grams.where("gram is not null").join(F.broadcast(texts), "lang")  # one row per language
         .withColumn("share", F.col("n") / F.col("texts"))
-        .where((F.col("n") >= 2) & (F.col("share") >= config.min_share))
-        .withColumn("top", F.max("share").over(Window.partitionBy("gram")))
-        .where(F.col("share") >= F.col("top") * config.contrast)
+        .where(rare | (F.col("n") >= 2) & (F.col("share") >= config.min_share))
+        .withColumn("top", F.max(F.when(~rare, F.col("share"))).over(Window.partitionBy("gram")))
+        .where(rare | (F.col("share") >= F.col("top") * config.contrast))
         .withColumn("r", F.row_number().over(widest)).where(F.col("r") <= config.max_grams)
         .groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     )
-    return build({r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in known.collect()}, sizes, config)
+    found = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in known.collect()}
+    return build({lang: found.get(lang, np.zeros(0, np.uint64)) for lang in sizes}, sizes, config)
 
 
 def build(grams: dict[str, np.ndarray], sizes: dict[str, int], config: LanguageConfig) -> LanguageFilters:

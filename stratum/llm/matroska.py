@@ -202,7 +202,7 @@ def parse(data: bytes | None) -> Media:
         for i, at, end, _ in children(data, 0, len(data)):
             if i == SEGMENT:
                 read_segment(media, data, at, end)
-    except (ValueError, IndexError) as e:
+    except (ValueError, IndexError, struct.error) as e:
         media.error = str(e)
     return media
 
