@@ -5,8 +5,9 @@ leaf is down to the target. Dimensions come from the text (length, bytes per cha
 scaled to a common integer range; a hash of the text breaks ties. Equal texts have equal keys
 and no cut separates equal keys, so they always share a shard.
 
-Medians are found by radix histograms: each pass sums bytes by (node, digit) on the executors
-and sends at most nodes x 2^DIGIT sums to the driver, however large the table is.
+Medians are found by radix histograms: each pass sums bytes by (node, digit) and picks each node's
+digit on the executors. The driver holds the tree alone, one row per node, and every row carries
+its node as a column, to which the cuts of a level are joined.
 
 Defined results: a null text has size 1 and groups with the empty text; an empty table gives no
 rows; one group heavier than the target fills its leaf alone; null ids sort first.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SCALE_BITS, HASH_BITS, DIGIT = 18, 24, 14
 PASSES = (SCALE_BITS + HASH_BITS) // DIGIT
@@ -30,22 +31,22 @@ CELL_ROWS = 40_000
 
 @dataclass
 class Node:
-    """leaves below it; a leaf has a shard, another node a dimension, a cut and two sides."""
+    """A node of the tree: its number, the leaves below it, and two sides unless it is a leaf."""
 
+    number: int
     leaves: int
-    shard: int = 0
-    dimension: str | None = None
-    cut: int = 0
     sides: tuple[Node, Node] | None = None
 
     def walk(self) -> list[Node]:
-        return [self] if self.sides is None else self.sides[0].walk() + self.sides[1].walk()
-
-    def place(self, number: dict[int, int]) -> Column:
-        """Column expression: the number of the leaf a row falls into."""
-        if self.sides is None:
-            return F.lit(number[id(self)])
-        return F.when(F.col(f"key_{self.dimension}") < self.cut, self.sides[0].place(number)).otherwise(self.sides[1].place(number))
+        """Leaves from left to right."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if x.sides is None:
+                out.append(x)
+            else:
+                todo += [x.sides[1], x.sides[0]]
+        return out
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -75,48 +76,53 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", *[key(d).alias(f"key_{d}") for d in DIMENSIONS])
 
 
-def split_level(rows: DataFrame, root: Node, open_nodes: list[Node]) -> None:
-    """Split every open node at its weighted median along its widest dimension."""
-    number = {id(x): k for k, x in enumerate(root.walk())}
-    inside = rows.withColumn("node", root.place(number)).where(F.col("node").isin([number[id(x)] for x in open_nodes]))
-    ends = {r.node: r for r in inside.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(f"key_{d}") - F.min(f"key_{d}")).alias(d) for d in DIMENSIONS]).collect()}
-    prefix, below, goal = {}, {}, {}
-    for x in open_nodes:
-        r = ends.get(number[id(x)])
-        x.dimension = max(DIMENSIONS, key=lambda d: (r[d], d)) if r else DIMENSIONS[0]
-        prefix[id(x)], below[id(x)], goal[id(x)] = 0, 0, (r.bytes if r else 0) * (x.leaves // 2) / x.leaves
+def small(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of one row per open node; there are fewer nodes than two per shard."""
+    return F.broadcast(rows.sparkSession.createDataFrame(values, schema))
+
+
+def split_level(rows: DataFrame, open_nodes: list[Node], number: int) -> DataFrame:
+    """The rows (node, size, keys, ...) one level further down: every open node is split at its weighted
+    median along its widest dimension, into nodes numbered from `number` on."""
+    known = {x.number: x for x in open_nodes}
+    inside = rows.where(F.col("node") >= min(known))
+    ends = inside.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(f"key_{d}") - F.min(f"key_{d}")).alias(d) for d in DIMENSIONS])
+    plan = {r.node: (max(DIMENSIONS, key=lambda d, r=r: (r[d], d)), r.bytes * (known[r.node].leaves // 2) / known[r.node].leaves) for r in ends.collect() if r.node in known}
+    state = {n: (0, 0) for n in plan}
     for p in range(PASSES):
         shift = DIGIT * (PASSES - 1 - p)
-        key = F.coalesce(*[F.when(F.col("node") == number[id(x)], F.col(f"key_{x.dimension}")) for x in open_nodes])
-        within = F.coalesce(*[F.when(F.col("node") == number[id(x)], F.lit(prefix[id(x)])) for x in open_nodes])
-        sums: dict[int, dict[int, int]] = {}
-        digits = inside.select("node", "size", key.alias("key"), within.alias("within")).where(F.shiftright("key", shift + DIGIT) == F.col("within"))
-        for r in digits.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("size").alias("bytes")).collect():
-            sums.setdefault(r.node, {})[r.digit] = r.bytes
-        for x in open_nodes:
-            found, digit = sorted(sums.get(number[id(x)], {}).items()), 0
-            for k, (digit, n) in enumerate(found):
-                if below[id(x)] + n >= goal[id(x)] or k == len(found) - 1:
-                    break
-                below[id(x)] += n
-            if p == PASSES - 1 and found:
-                # the cut stands before or after this key, whichever leaves the sides nearer the goal
-                n = dict(found)[digit]
-                digit += goal[id(x)] - below[id(x)] > n / 2
-            prefix[id(x)] = prefix[id(x)] * (1 << DIGIT) + digit
+        aims = small(rows, [(n, d, goal, *state[n]) for n, (d, goal) in plan.items()], "node long, dimension string, goal double, prefix long, below long")
+        key = F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"key_{d}")) for d in DIMENSIONS])
+        digits = inside.join(aims, "node").withColumn("key", key).where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
+        digits = digits.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("size").alias("n"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+        earlier = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        digits = digits.withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("before") + F.col("n") >= F.col("goal"))
+        for r in digits.groupBy("node").agg(F.min(F.struct("digit", "n", "before")).alias("at")).collect():
+            # the last cut stands before or after its key, whichever leaves the sides nearer the goal
+            over = p == PASSES - 1 and plan[r.node][1] - r["at"].before > r["at"].n / 2
+            state[r.node] = ((state[r.node][0] << DIGIT) + r["at"].digit + over, r["at"].before)
+    cuts = []
     for x in open_nodes:
-        x.cut = prefix[id(x)]
-        x.sides = (Node(x.leaves // 2), Node(x.leaves - x.leaves // 2))
-
-
-def plan_tree(rows: DataFrame, leaves: int) -> Node:
-    """The k-d tree with the given number of leaves, numbered from left to right."""
-    root = Node(leaves)
+        x.sides = (Node(number, x.leaves // 2), Node(number + 1, x.leaves - x.leaves // 2))
+        if x.number in plan:
+            cuts.append((x.number, plan[x.number][0], state[x.number][0], number))
+        number += 2
+    cut = small(rows, cuts, "node long, dimension string, cut long, low long")
+    key = F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"key_{d}")) for d in DIMENSIONS])
+    side = F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("low") + F.when(key < F.col("cut"), 0).otherwise(1))
+    return rows.join(cut, "node", "left").withColumn("node", side).select(*rows.columns)
+
+
+def plan_tree(rows: DataFrame, leaves: int) -> tuple[DataFrame, Node]:
+    """The rows with the leaf each falls into, and the k-d tree with the given number of leaves."""
+    spark = rows.sparkSession
+    root, number = Node(0, leaves), 1
+    rows = materialize(spark, rows.withColumn("node", F.lit(0).cast("long")))
     while open_nodes := [x for x in root.walk() if x.leaves > 1]:
-        split_level(rows, root, open_nodes)
-    for k, leaf in enumerate(root.walk()):
-        leaf.shard = k
-    return root
+        after = materialize(spark, split_level(rows, open_nodes, number))
+        discard(rows)
+        rows, number = after, number + 2 * len(open_nodes)
+    return rows, root
 
 
 def kd_shards(docs: DataFrame, target_bytes: int | None = None, leaves: int = 16) -> DataFrame:
@@ -127,12 +133,10 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, leaves: int = 16
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     if target_bytes:
         leaves = max(1, -(-(total.bytes or 0) // target_bytes))
-    root = plan_tree(rows, leaves)
+    rows, root = plan_tree(rows, leaves)
     cells = max(1, -(-total.n // (CELL_ROWS * leaves)))
-    placed = rows.select(
-        "doc_id", "size", "text_crc32", root.place({id(x): x.shard for x in root.walk()}).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"),
-    )
+    shards = small(rows, [(x.number, k) for k, x in enumerate(root.walk())], "node long, shard int")
+    placed = rows.join(shards, "node").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
