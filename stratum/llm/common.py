@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import discard, materialize, prepare
 
-__all__ = ["discard", "documents", "focus", "map_batches", "materialize", "prepare", "remembers", "utf8"]
+__all__ = ["discard", "documents", "focus", "map_batches", "materialize", "prepare", "remembers", "utf8", "with_counts"]
 
 #: What each operator keeps in a Python worker between tasks, as functions that let it go.
 _kept: dict[str, list[Callable[[], None]]] = {}
@@ -38,6 +39,25 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+#: Rows of one key that an ordinary join leaves in one task.
+HOT_ROWS = 10_000
+
+
+def with_counts(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """Join rows with a table of one row per key, whose n tells how many of the rows hold the key.
+
+    Keys of more than a thousandth of the rows, which are fewer than a thousand, are broadcast, so that
+    their rows stay where they are; the others are joined as usual."""
+    counted = materialize(rows.sparkSession, counted)
+    most = max(HOT_ROWS, (counted.agg(F.sum("n").alias("n")).first().n or 0) // 1000)
+    hot = counted.where(F.col("n") > most)
+    names = [r[0] for r in hot.select(key).collect()]  # fewer than a thousand
+    if not names:
+        return rows.join(counted, key)
+    there = F.col(key).isin(names)
+    return rows.where(there).join(F.broadcast(hot), key).unionByName(rows.where(~there).join(counted.where(F.col("n") <= most), key))
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, utf8
+from .common import map_batches, materialize, utf8, with_counts
 from .suffixes import keyed, packed_texts
 
 
@@ -85,7 +85,7 @@ def repeated_chunks(docs: DataFrame, config: LineConfig) -> DataFrame:
     spark = docs.sparkSession
     table = materialize(spark, chunk_table(docs, config))
     twice = table.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "kid", "k")).alias("first")).where("n > 1")
-    marked = table.join(twice, "h").select("kid", "k", "h", ((F.col("kid") == F.col("first.kid")) & (F.col("k") == F.col("first.k"))).alias("first"))
+    marked = with_counts(table, twice, "h").select("kid", "k", "h", ((F.col("kid") == F.col("first.kid")) & (F.col("k") == F.col("first.k"))).alias("first"))
     wanted = materialize(spark, marked.groupBy("kid").agg(F.collect_set(F.struct("k", "h", "first")).alias("wanted")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

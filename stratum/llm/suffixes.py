@@ -7,8 +7,9 @@ suffixes at anchors need sorting. The sort runs as an external merge sort over t
 1. anchors whose first `length - window + 1` bytes occur once cannot be in a repeat; counting
    hashes of those bytes (partial sums before the shuffle) removes them;
 2. each task sorts the remaining suffixes (extended by their reversed left context) into runs,
-   front-codes them (common-prefix length and tail) and sends blocks by prefix hash, so equal
-   prefixes meet;
+   puts equal ones together, front-codes them (common-prefix length and tail) and sends blocks by
+   prefix hash, so equal prefixes meet; of equal suffixes of a run one is sent, as the others'
+   strings are known to be repeats;
 3. each block group is merged by a loser tree that keeps the common-prefix length of every
    loser with its winner: longer known prefixes win without a look at the bytes, and bytes are
    compared only behind a known common prefix;
@@ -17,6 +18,8 @@ suffixes at anchors need sorting. The sort runs as an external merge sort over t
    A string occurs again exactly if another anchor shares both classes.
 
 The result is exact: strings are compared by bytes, overlapping and same-document repeats count.
+Rows go by a 64-bit hash of id and text. Suffixes with one core and many different continuations
+meet in one merge group, however many they are.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than
 `length` are kept; repeated rows are repeats of each other; null ids are kept as ids; other
@@ -36,20 +39,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import focus, map_batches, materialize, prepare, remembers, utf8
+from .common import discard, focus, map_batches, materialize, prepare, remembers, utf8, with_counts
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
     """length: bytes of a string that counts as repeated; window: positions an anchor is chosen
     from; run_rows: suffixes sorted at once in a task; block_rows: suffixes per merge group; words:
-    if not 0, strings of that many words and fewer than `length` bytes are sought instead."""
+    if not 0, strings of that many words and fewer than `length` bytes are sought instead; keep_one:
+    of equal strings the one of the least row hash, then place, is no repeat."""
 
     length: int = 400
     window: int = 192
     run_rows: int = 60_000
     block_rows: int = 30_000
     words: int = 0
+    keep_one: bool = False
 
     @property
     def core(self) -> int:
@@ -193,20 +198,24 @@ def row_prefixes(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def front_code(keys: np.ndarray, kid: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
-    """A sorted block: common prefixes, tails and the suffixes' places, compressed."""
+def front_code(keys: np.ndarray, kid: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray) -> bytes:
+    """A sorted block: common prefixes, tails, the suffixes' places and whether others equal them, compressed."""
     prefix = row_prefixes(keys)
     tails = keys[np.arange(keys.shape[1])[None, :] >= prefix[:, None]].tobytes()
-    parts = [prefix.astype("<u2").tobytes(), kid.astype("<i8").tobytes(), at.astype("<i4").tobytes(), low.astype("<u2").tobytes(), high.astype("<u2").tobytes(), tails]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", keys.shape[0]) + b"".join(parts))
+    parts = [x.astype(kind).tobytes() for x, kind in zip((prefix, kid, at, low, high, many), FIELDS, strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", keys.shape[0]) + b"".join(parts) + tails)
 
 
-def front_decode(block: bytes, width: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, common prefixes and places of a block."""
+#: Types of the columns of a block.
+FIELDS = ("<u2", "<i8", "<i4", "<u2", "<u2", "u1")
+
+
+def front_decode(block: bytes, width: int) -> tuple[list[bytes], list[int], list[np.ndarray]]:
+    """Keys, common prefixes, and kid, at, low, high, many of a block."""
     raw = zstandard.ZstdDecompressor().decompress(block)
     (n,) = struct.unpack_from("<I", raw)
     cols, o = [], 4
-    for kind in ("<u2", "<i8", "<i4", "<u2", "<u2"):
+    for kind in FIELDS:
         cols.append(np.frombuffer(raw, kind, n, o))
         o += cols[-1].nbytes
     keys, key = [], b""
@@ -215,18 +224,27 @@ def front_decode(block: bytes, width: int) -> tuple[list[bytes], list[int], np.n
         key = key[:p] + raw[o:end]
         keys.append(key)
         o = end
-    return keys, cols[0].tolist(), *cols[1:]
+    return keys, cols[0].tolist(), cols[1:]
 
 
-def repeated_offsets(prefix: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeated_offsets(
+    prefix: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, many: np.ndarray, rank: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For suffixes in sorted order: runs of offsets x whose string occurs at another suffix too.
 
     prefix: common prefix of each key with the one before; left: reversed left contexts;
-    low, high: offsets that belong to each anchor. Returns (member's group, first x, last x) of
-    each run and the group of every member; members with one key and range form a group."""
+    low, high: offsets that belong to each anchor; many: whether more suffixes equal this one. Returns
+    (member's group, first x, last x) of each run and the group of every member; members with one
+    key and range form a group. With a rank, only strings that occur at a suffix of lesser rank
+    count, and every member is a group of its own."""
     width = length + left.shape[1]
     same = np.cumsum(prefix < width)
-    _, first, group, count = np.unique((same * 4096 + low) * 4096 + high, return_index=True, return_inverse=True, return_counts=True)
+    if rank is None:
+        _, first, group, count = np.unique((same * 4096 + low) * 4096 + high, return_index=True, return_inverse=True, return_counts=True)
+        many = (count > 1) | (np.bincount(group, many, count.size) > 0)
+    else:
+        first = group = np.arange(same.size)
+        many = np.zeros(same.size, bool)
     # groups come in key order, as the key number leads
     own, left, low, high = same[first], left[first], low[first], high[first]
     starts = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
@@ -236,19 +254,19 @@ def repeated_offsets(prefix: np.ndarray, left: np.ndarray, low: np.ndarray, high
     left_prefix = row_prefixes(left[order])
     found = np.zeros((m, int(high.max()) + 2), bool)
     classes = np.empty(m, np.int64)
-    many = count > 1
     for x in range(int(low.min()), int(high.max()) + 1):
         here = np.flatnonzero((low <= x) & (x <= high))
         if not here.size:
             continue
         classes[order] = np.cumsum(left_prefix < x)
         key = (np.cumsum(right < length - x) * (m + 1) + classes)[here]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key, kind="stable") if rank is None else np.lexsort((rank[here], key))
         sorted_key = key[by]
         equal = sorted_key[1:] == sorted_key[:-1]
         again = np.zeros(here.size, bool)
         again[by[1:]] |= equal
-        again[by[:-1]] |= equal
+        if rank is None:
+            again[by[:-1]] |= equal
         found[here, x] = again | many[here]
     edges = np.diff(found.astype(np.int8), axis=1, prepend=0)
     who, begin = np.nonzero(edges == 1)
@@ -263,9 +281,13 @@ def merge_blocks(blocks: list[bytes], config: SuffixConfig) -> tuple[np.ndarray,
     run, place, prefix = (np.array(c, np.int64) for c in zip(*order, strict=True))
     offset = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])))[:-1]
     source = offset[run] + place
-    kid, at, low, high = (np.concatenate([r[k] for r in runs])[source].astype(np.int64) for k in (2, 3, 4, 5))
+    kid, at, low, high, many = (np.concatenate([r[2][k] for r in runs])[source].astype(np.int64) for k in range(5))
     left = np.frombuffer(b"".join([runs[r][0][i][config.length :] for r, i, _ in order]), np.uint8).reshape(len(order), -1)
-    who, begin, stop, group = repeated_offsets(prefix, left, low, high, config.length)
+    rank = None
+    if config.keep_one:
+        rank = np.empty(kid.size, np.int64)
+        rank[np.lexsort((at, kid))] = np.arange(kid.size)
+    who, begin, stop, group = repeated_offsets(prefix, left, low, high, config.length, many, rank)
     members = np.argsort(group, kind="stable")
     sizes = np.bincount(group)
     start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -314,18 +336,32 @@ def packed_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> DataFrame:
-    """pid, block: front-coded runs of the candidate suffixes (rows: kid, z, ats)."""
+    """pid, block: front-coded runs of the candidate suffixes (rows: kid, z, ats); from pid `groups` on,
+    ranges already known to be repeats (kids, begins, stops)."""
 
     def blocks(chunks: list[tuple]) -> pa.RecordBatch:
         keys, kid, at, low, high, pid = (np.concatenate(c) for c in zip(*chunks, strict=True))
-        led = np.concatenate((pid.astype(">u4").view(np.uint8).reshape(-1, 4), keys), axis=1)
+        big = lambda x, kind, n: x.astype(kind).view(np.uint8).reshape(-1, n)
+        led = np.concatenate((big(pid, ">u4", 4), keys, big(low, ">u2", 2), big(high, ">u2", 2)), axis=1)
         rows = led.tobytes()
         width = led.shape[1]
-        order = sorted(range(kid.size), key=[rows[i * width : (i + 1) * width] for i in range(kid.size)].__getitem__)
-        order = np.array(order)
+        order = np.array(sorted(range(kid.size), key=[rows[i * width : (i + 1) * width] for i in range(kid.size)].__getitem__))
+        # equal suffixes with equal offsets: the one of least hash and place goes on, all are repeats
+        number = np.cumsum(row_prefixes(led[order]) < width) - 1
+        order = order[np.lexsort((at[order], kid[order], number))]
+        size = np.bincount(number)
+        lead = np.concatenate(([0], np.cumsum(size)))[:-1]
+        gone = size[number] > 1
+        if config.keep_one:
+            gone[lead] = False
+            size = np.ones(size.size, np.int64)
+        known, order = order[gone], order[lead]
         pids = pid[order]
         cuts = np.flatnonzero(np.concatenate(([True], pids[1:] != pids[:-1], [True])))
-        out = [(int(pids[s]), front_code(keys[o := order[s:e]], kid[o], at[o], low[o], high[o])) for s, e in zip(cuts, cuts[1:], strict=False)]
+        out = [(int(pids[s]), front_code(keys[o := order[s:e]], kid[o], at[o], low[o], high[o], size[s:e] > 1)) for s, e in zip(cuts, cuts[1:], strict=False)]
+        if known.size:
+            ranges = np.stack((kid[known], at[known] - high[known], at[known] - low[known] + config.length))
+            out.append((groups + int(kid[known[0]] % groups), zstandard.ZstdCompressor(level=1).compress(ranges.astype("<i8").tobytes())))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["pid", "block"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,22 +418,32 @@ def short_repeats(docs: DataFrame, config: SuffixConfig) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["kid", "begin", "stop", "w"])
 
     found = materialize(docs.sparkSession, map_batches(keyed(docs).select("kid", "text"), run, "kid bigint, begin bigint, stop bigint, w binary"))
-    twice = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return found.join(twice, "w").groupBy("kid").agg(F.collect_set(F.struct("begin", "stop")).alias("ranges"))
+    twice = found.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("kid", "begin")).alias("first")).where("n > 1")
+    again = with_counts(found, twice, "w")
+    if config.keep_one:
+        again = again.where((F.col("kid") != F.col("first.kid")) | (F.col("begin") != F.col("first.begin")))
+    return again.groupBy("kid").agg(F.collect_set(F.struct("begin", "stop")).alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """kid and the ranges (array of begin, stop) of its text that are covered by repeated strings."""
-    prepare(docs.sparkSession)
-    marks = materialize(docs.sparkSession, find_anchors(docs, config))
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    ats = materialize(docs.sparkSession, marks.join(twice, "h").groupBy("kid").agg(F.collect_set("at").alias("ats")))
+    spark = docs.sparkSession
+    prepare(spark)
+    marks = materialize(spark, find_anchors(docs, config))
+    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    ats = materialize(spark, with_counts(marks, twice, "h").groupBy("kid").agg(F.collect_set("at").alias("ats")))
+    discard(marks)
     total = ats.agg(F.sum(F.size("ats")).alias("n")).first().n or 0
     groups = max(1, -(-total // config.block_rows))
     runs = sorted_runs(packed_texts(docs).join(ats, "kid"), groups, config)
 
-    def merge(table: pa.Table) -> pa.Table:
-        kid, begin, stop = merge_blocks(table.column("block").to_pylist(), config)
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        if key[0].as_py() >= groups:
+            unpack = zstandard.ZstdDecompressor().decompress
+            kid, begin, stop = np.concatenate([np.frombuffer(unpack(b), "<i8").reshape(3, -1) for b in blocks], axis=1)
+        else:
+            kid, begin, stop = merge_blocks(blocks, config)
         return pa.table({"kid": kid, "begin": begin.astype(np.int64), "stop": stop.astype(np.int64)})
 
     found = runs.groupBy("pid").applyInArrow(merge, "kid bigint, begin bigint, stop bigint")
@@ -440,17 +486,20 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig(), carry
     return map_batches(joined, run, ", ".join([f"doc_id {kind}", "n_bytes bigint", "spans array<struct<begin:bigint,stop:bigint>>", "kept binary", *kinds]))
 
 
-def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 by a table of all strings; for tests."""
-    seen: dict[bytes, int] = {}
+def brute_force(texts: list[str | None], length: int, order: list[int] | None = None) -> list[tuple[int, int, int, str]]:
+    """n_bytes, n_removed, n_spans, kept_sha256 by a table of all strings; for tests. With an order
+    (rank of each text) the first occurrence of a string stays."""
+    places: dict[bytes, list[tuple[int, int]]] = {}
     raw = [utf8(t) for t in texts]
-    for b in raw:
+    rank = order or [0] * len(raw)
+    for k, b in zip(rank, raw, strict=True):
         for i in range(len(b) - length + 1):
-            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+            places.setdefault(b[i : i + length], []).append((k, i))
     out = []
-    for b in raw:
-        cover = united([{"begin": i, "stop": i + length} for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1])
+    for k, b in zip(rank, raw, strict=True):
+        again = [i for i in range(len(b) - length + 1) if len(p := places[b[i : i + length]]) > 1 and (order is None or min(p) != (k, i))]
+        cover = united([{"begin": i, "stop": i + length} for i in again])
         edges = [0, *(e for r in cover for e in r), len(b)]
-        kept = b"".join(b[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
+        kept = b"".join(b[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
         out.append((len(b), len(b) - len(kept), len(cover), hashlib.sha256(kept).hexdigest()))
     return out

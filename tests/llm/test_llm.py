@@ -210,6 +210,32 @@ def test_shards_are_even_and_keep_groups(spark, odd, empty):
     assert kdshards.kd_shards(odd, target_bytes=100_000).agg(F.max("shard")).first()[0] >= 3
 
 
+def plain_tree(rows, leaves):
+    """Shard of each row (size, keys by dimension, id) by sorting at every node."""
+    if leaves == 1:
+        return {r[2]: 0 for r in rows}
+    spans = {d: max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in kdshards.DIMENSIONS}
+    by = max(kdshards.DIMENSIONS, key=lambda d: (spans[d], d))
+    goal, below = sum(r[0] for r in rows) * (leaves // 2) / leaves, 0
+    weight = Counter()
+    for size, keys, _ in rows:
+        weight[keys[by]] += size
+    for key, n in sorted(weight.items()):
+        if below + n >= goal:
+            break
+        below += n
+    cut = key + (goal - below > n / 2)
+    left, right = [r for r in rows if r[1][by] < cut], [r for r in rows if r[1][by] >= cut]
+    return plain_tree(left, leaves // 2) | {k: s + leaves // 2 for k, s in plain_tree(right, leaves - leaves // 2).items()}
+
+
+def test_shards_equal_a_plain_tree(spark, real):
+    docs = docs_of(spark, [t for _, t, _ in real])
+    rows = kdshards.keyed(kdshards.measured(docs)).collect()
+    want = plain_tree([(r.size, {d: r[f"key_{d}"] for d in kdshards.DIMENSIONS}, r.doc_id) for r in rows], 7)
+    assert {r.doc_id: r.shard for r in kdshards.kd_shards(docs, leaves=7).collect()} == want
+
+
 def reference_fingerprint(text):
     """The same samples in plain Python."""
     import re
@@ -332,6 +358,41 @@ def test_passages_shared_by_documents_are_found(spark, odd, empty):
     assert {(r.doc_id, r.partner_id, r.kind) for r in windows.near_passages(odd).collect()} == {(6, 5, "copy")}
 
 
+def planted(groups, size, words, seed):
+    """Texts that hold one edited copy of their group's passage, and the pairs of texts whose copies
+    reach the similarity, by brute force."""
+    rnd = random.Random(seed)
+    word = lambda: f"v{rnd.randrange(20000)}"
+    texts, sets = [], []
+    for g in range(groups):
+        passage = [word() for _ in range(words)]
+        for k in range(size):
+            copy = list(passage)
+            copy[rnd.randrange(words)] = f"new{g}_{k}"
+            body = [word() for _ in range(rnd.randrange(80, 300))]
+            at = rnd.randrange(len(body))
+            body[at:at] = copy
+            texts.append(" ".join(body))
+            sets.append({tuple(copy[i : i + 5]) for i in range(words - 4)})
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b - b % size, b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return texts, pairs
+
+
+def test_near_passages_are_recalled(spark):
+    for groups, size, words, least in ((150, 2, 100, 0.97), (30, 8, 60, 0.95)):
+        texts, pairs = planted(groups, size, words, 27)
+        up = list(range(len(texts)))
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for r in windows.near_passages(docs_of(spark, texts)).collect():
+            up[find(r.doc_id)] = find(r.partner_id)
+        assert len(pairs) > 100 and sum(find(a) == find(b) for a, b in pairs) >= least * len(pairs)
+
+
 def test_compact_windows_by_definition():
     rnd = np.random.default_rng(15)
     config = windows.WindowConfig(words=14, functions=2, near=3)
@@ -403,6 +464,145 @@ def test_matching_agrees_with_brute_force():
     assert min(seen[True], seen[False]) > 50
 
 
+def test_hot_lists_are_dealt_in_blocks(spark):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    base = [rnd.choice(words) for _ in range(80)]
+    texts = []
+    for k in range(70):
+        t = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts.append(" ".join(t))
+    want = {d: c for d, (_, c) in shingles.brute_force(list(enumerate(texts))).items()}
+    for config in (shingles.ShingleConfig(block=9, deal=7, hot=5, leaf=4), shingles.ShingleConfig(sample=30, hot=1, leaf=3, groups=4, fine_groups=4)):
+        assert {r.doc_id: r.component_id for r in shingles.similarity_components(docs_of(spark, texts), config).collect()} == want
+
+
+def test_tree_finds_everyone_with_a_partner():
+    rnd = np.random.default_rng(22)
+    config = shingles.ShingleConfig(leaf=4)
+    base = [rnd.integers(0, 1 << 40, 60).astype(np.uint64) for _ in range(20)]
+    sets = [np.unique(np.where(rnd.random(60) < rnd.choice([0.02, 0.1, 0.5]), rnd.integers(0, 1 << 40, 60).astype(np.uint64), base[k % 20])) for k in range(120)]
+    points, sizes, roots = np.stack([shingles.count_vector(s, 32) for s in sets]), np.array([s.size for s in sets]), rnd.integers(0, 3, 120)
+    tree = shingles.CountTree(points, sizes, roots, config)
+    want = np.zeros(120, bool)
+    for u, v in tree.pairs():
+        want[u] = want[v] = True
+    assert (tree.partnered() == want).all() and 0 < want.sum() < 120
+
+
+def hashes_of(df):
+    return {(r.doc_id, r.text): r.kid for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("kid")).collect()}
+
+
+def test_one_copy_of_a_repeat_stays(spark):
+    rnd = random.Random(23)
+    config = suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60, keep_one=True)
+    base = ["".join(rnd.choice("abcde \n") for _ in range(120)) for _ in range(4)]
+    texts = [None, "", "a" * 150, base[0], base[0]] + [rnd.choice(base)[rnd.randrange(40) :] + "".join(rnd.choice("xyz") for _ in range(9)) + rnd.choice(base)[: rnd.randrange(30, 120)] for _ in range(40)]
+    docs = docs_of(spark, texts)
+    kid = hashes_of(docs)
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.remove_repeats(docs, config).collect()}
+    assert [got[i] for i in range(len(texts))] == suffixes.brute_force(texts, 40, [kid[i, t] for i, t in enumerate(texts)])
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    from stratum.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rnd = random.Random(24)
+    texts = ["".join(rnd.choice("abc") for _ in range(90))] * 8 + ["".join(rnd.choice("abcdef") for _ in range(90)) for _ in range(6)] * 2
+    config = suffixes.SuffixConfig(length=40, window=16)
+    got = {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in suffixes.remove_repeats(docs_of(spark, texts), config).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[3] for x in suffixes.brute_force(texts, 40)]
+
+
+def test_broken_files_give_an_error_text():
+    rnd = random.Random(25)
+    whole = matroska.mux(matroska.padded(b"some text of a file " * 60))
+    for n in range(len(whole)):
+        matroska.parse(whole[:n])
+    for _ in range(2000):
+        data = bytearray(whole)
+        for _ in range(rnd.randrange(1, 6)):
+            data[rnd.randrange(len(data))] = rnd.randrange(256)
+        matroska.parse(bytes(data))
+    one = matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81"))
+    assert matroska.parse(matroska.HEADER + matroska.element(matroska.SEGMENT, one)).error
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [("the cat and the dog sat on the mat", "en")] + [("qaptlhej wovbe chegh", "kl")] + [("zxzx yvyv wuwu", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), langid.LanguageConfig(bits=14))
+    assert model.languages == ["en", "kl", "zz"]
+    assert [model.predict(t)[0] for t, _ in rows] == ["en", "kl", "zz"] and model.predict("жук")[0] in model.languages
+    many = spark.range(50_000).select(F.concat_ws(" ", F.lit("the cat and"), F.col("id"), F.lit("dogs")).alias("text"), F.lit("en").alias("lang"))
+    model = langid.fit(many.unionByName(spark.createDataFrame(rows[1:2], "text string, lang string")), langid.LanguageConfig(bits=14, sample_rows=500))
+    assert model.predict("qaptlhej")[0] == "kl" and model.predict("the cats and dogs")[0] == "en"
+    copies = spark.range(5000).select(F.lit("one and the same text").alias("text"), F.lit("en").alias("lang"))
+    assert langid.fit(copies, langid.LanguageConfig(bits=14)).languages == ["en"]
+
+
+def test_padding_does_not_depend_on_the_layout(spark, real):
+    docs = docs_of(spark, [t for _, t, _ in real] * 3)
+    config = packing.PackingConfig()
+    for parts in (1, 16, 200):
+        got = packing.pack_documents(docs.repartition(parts), vocabulary(), config).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert sum(r.n for r in got) > 0.98 * config.length * len(got)
+    for bad in ({"stretch": 600}, {"stretch": 0}, {"segment": 100}, {"tails": 0}):
+        with pytest.raises(ValueError):
+            packing.PackingConfig(length=512, **bad)
+
+
+def test_ranges_are_even_for_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 50)
+    texts = [f"text number {i} of {i % 7}" for i in range(1000)]
+    cases = {"sparse": [i for i in range(999)] + [1 << 60], "none": [None] * 1000, "one": [5] * 900 + [*range(100)], "steps": [i * 10**15 for i in range(1000)]}
+    for name, ids in cases.items():
+        rows = docs_of(spark, texts, ids).select("doc_id", "text")
+        dealt = sampling.dealt(rows).where("not visitor")
+        sizes = [r["count"] for r in dealt.groupBy("bin").count().collect()]
+        assert sum(sizes) == 1000 and max(sizes) < 130, (name, max(sizes))
+        order = dealt.orderBy("bin", "place").select("doc_id", "text", "lead").collect()
+        assert all(a.lead == b.text for a, b in zip(order, [*order[1:], order[0]], strict=True)), name
+        known = [r.doc_id for r in order if r.doc_id is not None]
+        assert known == sorted(known)
+
+
+def test_likeness_estimates_generalised_jaccard(spark):
+    rnd = random.Random(26)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words[: rnd.randrange(20, 60)]) for _ in range(200)) for _ in range(60)]
+    got = sampling.neighbour_fingerprints(docs_of(spark, texts)).collect()
+    weights = [{w: 1 + math.log(n) for w, n in Counter(t.split()).items()} for t in texts]
+    errors = []
+    for r in got:
+        a, b = weights[r.doc_id], weights[(r.doc_id + 1) % len(texts)]
+        both = a.keys() | b.keys()
+        errors.append(r.near_next - sum(min(a.get(w, 0), b.get(w, 0)) for w in both) / sum(max(a.get(w, 0), b.get(w, 0)) for w in both))
+    assert abs(sum(errors)) / len(errors) < 0.03 and math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.12
+
+
+def test_long_texts_keep_wide_windows():
+    x = np.arange(70_000, dtype=np.uint64)
+    w = windows.compact_windows(x, windows.WindowConfig(functions=1))
+    assert int((w["l"].astype(int) + w["r"] + 1).max()) == 70_000
+
+
+def test_repeated_and_missing_ids(spark):
+    texts = ["one text of some words that are many enough for it"] * 3 + ["line a\nline b\nline c\nline d"] * 3 + [None, ""]
+    docs = docs_of(spark, texts, [1, 1, None, 2, None, None, None, 3])
+    n = len(texts)
+    assert suffixes.remove_repeats(docs).count() == n and lines.dedup_lines(docs).count() == n
+    assert shingles.similarity_components(docs).count() == n and sampling.neighbour_fingerprints(docs).count() == n
+    assert kdshards.kd_shards(docs, leaves=4).count() == n and matroska.media_digests(docs).count() == n
+    assert bpe.encode_documents(docs, vocabulary()).count() == n
+    assert packing.pack_documents(docs, vocabulary()).agg(F.sum("length")).first()[0] == sum(len(bpe.load(vocabulary()).encode(t)) + 1 for t in texts)
+    assert windows.near_passages(docs).count() == 0
+    assert langid.identify(docs, langid.fit(docs)).count() == n
+
+
 def test_pipeline_removes_repeated_passages_of_short_words(spark):
     import corpus_pipeline
 
@@ -413,8 +613,11 @@ def test_pipeline_removes_repeated_passages_of_short_words(spark):
     texts = [" ".join(b) for b in bodies]
     assert len(" ".join(short)) < corpus_pipeline.PASSAGE.length
     rows = docs_of(spark, texts).select("doc_id", "text", "lang", "source")
-    rows = corpus_pipeline.dedup_passages(spark, rows, SF)
-    want = {0: bodies[0][:30] + bodies[0][-30:], 1: bodies[1][:30] + bodies[1][-39:], 2: bodies[2], 3: bodies[3]}
+    rows = corpus_pipeline.materialize(spark, corpus_pipeline.dedup_passages(spark, rows, SF))
+    kid = hashes_of(rows)
+    first = min((0, 1), key=lambda d: kid[d, texts[d]])
+    want = dict(enumerate(bodies))
+    want[1 - first] = bodies[1 - first][:30] + bodies[1 - first][81:]
     got = {r.doc_id: r.text.split() for r in corpus_pipeline.without_repeats(rows, corpus_pipeline.SHORT_WORDS).collect()}
     assert got == want
     tokens = {}
@@ -432,6 +635,7 @@ def test_pipeline(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r.doc_id: r.text for r in rows.collect()}
+        kid = hashes_of(rows)
         rows = corpus_pipeline.materialize(spark, stage(spark, rows, SF))
         after = {r.doc_id: r.text for r in rows.collect()}
         assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"] and set(after) <= set(before)
@@ -441,7 +645,8 @@ def test_pipeline(spark):
             want = {d: before[d] for d, (_, c) in shingles.brute_force(list(before.items())).items() if c == d}
         elif name == "suffix_array_dedup":
             ids = list(before)
-            want = {d: n for d, (_, n, *_) in zip(ids, suffixes.brute_force([before[d] for d in ids], corpus_pipeline.PASSAGE.length), strict=True)}
+            order = [kid[d, before[d]] for d in ids]
+            want = {d: n for d, (_, n, *_) in zip(ids, suffixes.brute_force([before[d] for d in ids], corpus_pipeline.PASSAGE.length, order), strict=True)}
             assert all(len(after[d].encode()) == len(before[d].encode()) - want[d] for d in after)
             continue
         else:
