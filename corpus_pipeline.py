@@ -13,8 +13,8 @@ from stratum.llm.queries import vocabulary
 
 CARRIED = ("lang", "source")
 #: Most passages of over 50 words have this many bytes; the shorter ones go before packing.
-PASSAGE = suffixes.SuffixConfig(length=256, window=120)
-SHORT_WORDS = suffixes.SuffixConfig(length=256, words=51)
+PASSAGE = suffixes.SuffixConfig(length=256, window=120, keep_one=True)
+SHORT_WORDS = suffixes.SuffixConfig(length=256, words=51, keep_one=True)
 
 
 def documents_of(rows: DataFrame) -> DataFrame:
@@ -39,12 +39,12 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur more than once."""
+    """Texts without passages that another text, or place, holds already; one copy stays."""
     return without_repeats(docs, PASSAGE)
 
 
 def without_repeats(docs: DataFrame, config: suffixes.SuffixConfig) -> DataFrame:
-    """Texts without the strings that occur more than once."""
+    """Texts without the strings that occur more than once, but for one copy of each."""
     left = suffixes.remove_repeats(docs, config, carry=CARRIED)
     # a byte range may begin or end inside a letter; the broken bytes go with it
     return documents_of(left.select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.col("kept"), *CARRIED)
