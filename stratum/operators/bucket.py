@@ -21,12 +21,15 @@ def around(rows: DataFrame, prefix: str, pitch: float) -> DataFrame:
     return out.withColumn("bx", F.col("_bx") + F.col("_o.i")).withColumn("bz", F.col("_bz") + F.col("_o.j")).drop("_o", "_bx", "_bz")
 
 
-def covering_cell(probes: DataFrame, cells: DataFrame, key: list[str], down: float, up: float, pad: float, step: float, skip: Column | None = None) -> DataFrame:
+def covering_cell(
+    probes: DataFrame, cells: DataFrame, key: list[str], down: float, up: float, pad: float, step: float, skip: Column | None = None, tight: float | None = None
+) -> DataFrame:
     """For each probe (key, qx, qy, qz) the live cell whose tile covers it: key, hit, off.
 
     A cell is a step-by-step tile in its own frame; the probe must lie within half a step (and
     pad) along its axes and between up below and down above it. Of several, the least sum of
-    offsets wins, ties by cell_id. Only cells in the nine buckets around the probe are candidates."""
+    offsets wins, ties by cell_id. Only cells in the nine buckets around the probe are candidates.
+    With a second, smaller pad `tight`, close is the cell found with that one, or null."""
     half = step * 0.5 + pad
     c = bucketed(cells, "p", step).select(
         "bx", "bz", F.col("cell_id").alias("hit"), *v.named(v.of("p"), "c"), *[F.col(f"{a}{k}").alias(f"f{a}{k}") for a in "uvn" for k in "xyz"]
@@ -39,4 +42,9 @@ def covering_cell(probes: DataFrame, cells: DataFrame, key: list[str], down: flo
     if skip is not None:
         inside = inside & (F.col("hit") != skip)
     found = joined.where(inside).withColumn("off", F.round(F.abs(du) + F.abs(dv) + F.abs(dn), 9))
-    return found.groupBy(*key).agg(F.min(F.struct("off", "hit")).alias("best")).select(*key, F.col("best.hit").alias("hit"), F.col("best.off").alias("off"))
+    best = [F.min(F.struct("off", "hit")).alias("best")]
+    if tight is not None:
+        near = (F.abs(du) <= step * 0.5 + tight) & (F.abs(dv) <= step * 0.5 + tight)
+        best.append(F.min(F.when(near, F.struct("off", "hit"))).alias("near"))
+    rows = found.groupBy(*key).agg(*best)
+    return rows.select(*key, F.col("best.hit").alias("hit"), F.col("best.off").alias("off"), *([F.col("near.hit").alias("close")] if tight is not None else []))

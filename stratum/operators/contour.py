@@ -6,6 +6,7 @@ of a group is the length of one boundary loop."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -78,13 +79,32 @@ def loop_points(traced: DataFrame) -> DataFrame:
     return rows.select("loop_id", "pos", "comp", "sid", (F.col("ix") + 0.5).alias("x"), (F.col("iz") + 0.5).alias("z"), "inx", "inz", "label")
 
 
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+    sides = []
+    for order in (points, points[::-1]):
+        side: list[tuple[float, float]] = []
+        for p in order:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                side.pop()
+            side.append(p)
+        sides += side[:-1]
+    return sides
+
+
 class Line:
-    """Total-least-squares line with running moments; only the greatest deviation looks at all points."""
+    """Total-least-squares line with running moments. The point farthest from any line is a corner of
+    the convex hull, which stays small for points that one line fits."""
 
     def __init__(self) -> None:
         self.x: list[float] = []
         self.z: list[float] = []
         self.sums = [0.0] * 5
+        self.corners: list[tuple[float, float]] = []
+        self.before = self.corners
 
     def push(self, x: float, z: float) -> None:
         self.x.append(x)
@@ -93,6 +113,7 @@ class Line:
         u, w = x - self.x[0], z - self.z[0]
         for k, t in enumerate((u, w, u * u, w * w, u * w)):
             self.sums[k] += t
+        self.before, self.corners = self.corners, hull([*self.corners, (x, z)])
 
     def fit(self, n: int | None = None) -> tuple[float, float, float, float]:
         """Centre and unit direction."""
@@ -103,13 +124,15 @@ class Line:
 
     def deviation(self) -> float:
         cx, cz, dx, dz = self.fit()
-        return float(np.abs((np.array(self.x) - cx) * -dz + (np.array(self.z) - cz) * dx).max())
+        return max(abs((x - cx) * -dz + (z - cz) * dx) for x, z in self.corners)
 
     def pop(self) -> None:
+        """Take back the last push."""
         x, z = self.x.pop(), self.z.pop()
         u, w = x - self.x[0], z - self.z[0]
         for k, t in enumerate((u, w, u * u, w * w, u * w)):
             self.sums[k] -= t
+        self.corners = self.before
 
 
 def greedy_fit(x: list[float], z: list[float], label: list[bool], tol: float) -> list[tuple[int, int]]:
@@ -209,8 +232,14 @@ def fit_segments(points: DataFrame, options: LatticeOptions = LatticeOptions(),
 
 def point_widths(points: DataFrame, segments: DataFrame, field: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:
     """Half width behind every point of a fitted wall segment: loop_id, seg, pos, x, z, half_width."""
-    walls = segments.where("label and nx is not null").select("loop_id", "seg", "first_pos", "last_pos", "nx", "nz")
-    own = points.join(walls, "loop_id").where("pos between first_pos and last_pos")
+    from pyspark.sql import Window
+
+    # segments part all points of a loop, so a point's segment is the last one begun
+    begun = F.struct("seg", "nx", "nz", F.col("label").alias("wall")).alias("begun")
+    begins = segments.select("loop_id", F.col("first_pos").alias("pos"), begun)
+    order = Window.partitionBy("loop_id").orderBy("pos")
+    own = points.join(begins, ["loop_id", "pos"], "left").withColumn("begun", F.last("begun", ignorenulls=True).over(order))
+    own = own.where("begun.wall and begun.nx is not null").select("loop_id", "pos", "comp", "x", "z", "begun.seg", "begun.nx", "begun.nz")
     rows = own.select("loop_id", "seg", "pos", "comp", F.col("x").alias("qx"), F.col("z").alias("qz"), F.col("nx").alias("mx"), F.col("nz").alias("mz"))
     wide = half_width(rows, field, ["loop_id", "seg", "pos"], options.probe_cap)
     return rows.select("loop_id", "seg", "pos", F.col("qx").alias("x"), F.col("qz").alias("z")).join(wide, ["loop_id", "seg", "pos"])
@@ -256,7 +285,7 @@ def offset_segments(points: DataFrame, segments: DataFrame, widths: DataFrame, o
         places = sorted(pts)
         out = []
         for s in sorted(right.to_pylist(), key=lambda r: r["seg"]):
-            own = [pts[p] for p in places if s["first_pos"] <= p <= s["last_pos"]]
+            own = [pts[p] for p in places[bisect_left(places, s["first_pos"]) : bisect_right(places, s["last_pos"])]]
             ends = lambda q: (q[0]["x"], q[0]["z"], q[-1]["x"], q[-1]["z"])
             if s["nx"] is None:
                 out.append((s["loop_id"], s["seg"], 0, s["label"], len(own), *ends(own), *(None,) * 13))

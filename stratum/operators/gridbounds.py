@@ -33,22 +33,23 @@ def sided(cells: DataFrame) -> DataFrame:
     return rows.select("*", *v.named(out, "o"))
 
 
-def probe_edges(cells: DataFrame, options: GridOptions) -> DataFrame:
-    """(a, b): each cell and the cell that covers the point one step away, in each direction."""
+def covered_sides(cells: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
+    """cell_id, du, dv, hit, close: the cell that covers the point one step away in each direction, by
+    the seam's pad and by the tighter one of components, from one join."""
     rows = sided(cells)
-    probes = rows.select(F.col("cell_id").alias("a"), "du", "dv", *v.named(v.add(v.of("p"), v.scale(v.of("o"), options.step)), "q"))
-    found = covering_cell(probes, cells, ["a", "du", "dv"], options.surface_eps, options.surface_eps, options.cover_pad, options.step, F.col("a"))
-    return found.select("a", F.col("hit").alias("b"))
+    probes = rows.select("cell_id", "du", "dv", *v.named(v.add(v.of("p"), v.scale(v.of("o"), options.step)), "q"))
+    return covering_cell(probes, cells, ["cell_id", "du", "dv"], options.surface_eps, options.surface_eps, options.seam_pad, options.step, F.col("cell_id"), options.cover_pad)
 
 
-def components(cells: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
+def components(cells: DataFrame, options: GridOptions = GridOptions(), covered: DataFrame | None = None) -> DataFrame:
     """cell_id, comp: components across grids; comp is the least cell_id."""
-    roots = connected_components(probe_edges(cells, options))
+    covered = covered_sides(cells, options) if covered is None else covered
+    roots = connected_components(covered.where("close is not null").select(F.col("cell_id").alias("a"), F.col("close").alias("b")))
     joined = cells.select("cell_id").join(roots, F.col("cell_id") == F.col("node"), "left")
     return joined.select("cell_id", F.coalesce("component", "cell_id").alias("comp"))
 
 
-def classify(cells: DataFrame, dead: DataFrame, options: GridOptions = GridOptions(), comps: DataFrame | None = None) -> DataFrame:
+def classify(cells: DataFrame, dead: DataFrame, options: GridOptions = GridOptions(), comps: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
     """Every edge of a live cell that has no live neighbour in its own grid.
 
     kind: wall (the neighbour sample was killed, killer_id tells by what, null stays a wall), seam
@@ -59,9 +60,11 @@ def classify(cells: DataFrame, dead: DataFrame, options: GridOptions = GridOptio
     # one dead sample per lattice place; the least killer id if a place was recorded twice
     gone = dead.groupBy("grid_id", F.col("ui").alias("_u"), F.col("vi").alias("_v")).agg(F.min("killer_id").alias("killer_id"), F.lit(True).alias("killed"))
     rows = rows.join(gone, ["grid_id", "_u", "_v"], "left").drop("_u", "_v")
-    probes = rows.where("killed is null").select("cell_id", "du", "dv", *v.named(v.add(v.of("p"), v.scale(v.of("o"), options.step)), "q"))
-    cover = covering_cell(probes, cells, ["cell_id", "du", "dv"], options.surface_eps, options.surface_eps, options.seam_pad, options.step, F.col("cell_id"))
-    rows = rows.join(cover.select("cell_id", "du", "dv", "hit"), ["cell_id", "du", "dv"], "left")
+    if covered is None:
+        probes = rows.where("killed is null").select("cell_id", "du", "dv", *v.named(v.add(v.of("p"), v.scale(v.of("o"), options.step)), "q"))
+        covered = covering_cell(probes, cells, ["cell_id", "du", "dv"], options.surface_eps, options.surface_eps, options.seam_pad, options.step, F.col("cell_id"))
+    rows = rows.join(covered.select("cell_id", "du", "dv", F.col("hit").alias("_hit")), ["cell_id", "du", "dv"], "left")
+    rows = rows.withColumn("hit", F.when(F.col("killed").isNull(), F.col("_hit"))).drop("_hit")
     kind = F.when(F.col("killed"), "wall").when(F.col("hit").isNotNull(), "seam").otherwise("dropoff")
     half = tuple(F.when(F.col("du") != 0, F.col(f"v{k}")).otherwise(F.col(f"u{k}")) for k in "xyz")
     mid = v.add(v.of("p"), v.scale(v.of("o"), options.step * 0.5))
@@ -166,7 +169,8 @@ def wall_geometry(edges: DataFrame, frontier: DataFrame, options: GridOptions =
 def bake(cells: DataFrame, dead: DataFrame, foot_cells: DataFrame | None = None, options: GridOptions = GridOptions()) -> DataFrame:
     """Classification and runs in one call, with footprint outlines when footprints are given."""
     spark = cells.sparkSession
-    edges = materialize(spark, boundary(classify(cells, dead, options, components(cells, options))))
+    covered = materialize(spark, covered_sides(cells, options))
+    edges = materialize(spark, boundary(classify(cells, dead, options, components(cells, options, covered), covered)))
     if foot_cells is None:
         return merge_edges(edges)
     cutting = materialize(spark, cutting_cells(foot_cells, floor_under(foot_cells, cells, dead, options), options))

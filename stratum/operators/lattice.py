@@ -3,11 +3,13 @@ and crack edges."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LatticeOptions
-from ..runtime import materialize
+from ..runtime import materialize, prepare
 from .graph import connected_components
 
 #: Directions as (dx, dz, mask bit).
@@ -54,22 +56,63 @@ def run_distance(rows: DataFrame, key: list[str], along: str, name: str) -> Data
     return rows.withColumn(name, near).drop("_g")
 
 
+def row_distances(side: list[int]) -> list[int]:
+    """For each cell of an unbroken row the least k * k + side * side over the cells k away, and the
+    places just outside the row, whose side is 0.
+
+    The parabolas of the cells are kept as a lower envelope, so the row costs linear time."""
+    heights = [0, *(g * g for g in side), 0]
+    owners, begins = [0], [0]
+    for u in range(1, len(heights)):
+        begin = 0
+        while owners:
+            i = owners[-1]
+            # the first place where u is lower than i
+            begin = max(0, (u * u - i * i + heights[u] - heights[i]) // (2 * (u - i)) + 1)
+            if begin > begins[-1]:
+                break
+            owners.pop()
+            begins.pop()
+        if not owners:
+            begin = 0
+        if begin < len(heights):
+            owners.append(u)
+            begins.append(begin)
+    out, k = [], 0
+    for x in range(1, len(heights) - 1):
+        while k + 1 < len(owners) and begins[k + 1] <= x:
+            k += 1
+        out.append((x - owners[k]) ** 2 + heights[owners[k]])
+    return out
+
+
+#: Cells whose rows one task of the distance field takes.
+ROW_CELLS = 200_000
+
+
 def distance_field(cell_table: DataFrame) -> DataFrame:
     """Cells with d2, the exact squared distance to the nearest column outside the component, and d,
     the clearance from the cell's centre to that column's edge.
 
-    Column distances come from window runs. A row pass then looks sideways only as far as the
-    column and row distances allow a smaller sum."""
-    base = run_distance(run_distance(cell_table, ["comp", "ix"], "iz", "gz"), ["comp", "iz"], "ix", "gx")
-    base = materialize(cell_table.sparkSession, base)
-    reach = F.least("gx", "gz") - 1
-    probes = base.where(reach >= 1).select("comp", "ix", "iz", F.explode(F.sequence(-reach, reach)).alias("k")).where("k <> 0")
-    sides = base.select("comp", (F.col("ix")).alias("_x"), "iz", F.col("gz").alias("side"))
-    near = probes.withColumn("_x", F.col("ix") + F.col("k")).join(sides, ["comp", "_x", "iz"])
-    best = near.groupBy("comp", "ix", "iz").agg(F.min(F.col("k") * F.col("k") + F.col("side") * F.col("side")).alias("sideways"))
-    own = F.least(F.col("gz") * F.col("gz"), F.col("gx") * F.col("gx"))
-    out = base.join(best, ["comp", "ix", "iz"], "left").withColumn("d2", F.least(own, F.coalesce("sideways", own)))
-    return out.withColumn("d", F.greatest(F.sqrt("d2") - 0.5, F.lit(0.0))).drop("sideways", "gx")
+    Column distances come from window runs, then every row is one linear pass."""
+    spark = cell_table.sparkSession
+    base = materialize(spark, run_distance(cell_table, ["comp", "ix"], "iz", "gz"))
+    groups = max(1, -(-base.count() // ROW_CELLS))
+
+    def passed(table: pa.Table) -> pa.Table:
+        comp, ix, iz, gz = (table.column(c).to_numpy() for c in ("comp", "ix", "iz", "gz"))
+        order = np.lexsort((ix, iz, comp))
+        comp, ix, iz, gz = comp[order], ix[order], iz[order], gz[order]
+        broken = (comp[1:] != comp[:-1]) | (iz[1:] != iz[:-1]) | (ix[1:] != ix[:-1] + 1)
+        cuts = np.flatnonzero(np.concatenate(([True], broken, [True])))
+        side = gz.tolist()
+        d2 = [d for s, e in zip(cuts, cuts[1:], strict=False) for d in row_distances(side[s:e])]
+        return pa.table({"comp": comp, "ix": ix, "iz": iz, "d2": pa.array(d2, pa.int64())})
+
+    prepare(spark)
+    rows = base.select("comp", "ix", "iz", F.col("gz").cast("bigint").alias("gz"), F.pmod(F.xxhash64("comp", "iz"), F.lit(groups)).alias("pid"))
+    found = rows.groupBy("pid").applyInArrow(passed, "comp bigint, ix bigint, iz bigint, d2 bigint")
+    return base.join(found, ["comp", "ix", "iz"]).withColumn("d", F.greatest(F.sqrt("d2") - 0.5, F.lit(0.0)))
 
 
 def half_width(points: DataFrame, field: DataFrame, key: list[str], cap: float = 12.0) -> DataFrame:
@@ -79,9 +122,10 @@ def half_width(points: DataFrame, field: DataFrame, key: list[str], cap: float =
     rows = points.select(*key, "comp", "qx", "qz", "mx", "mz", steps.alias("n")).withColumn("t", F.col("n") * 0.5)
     rows = rows.withColumn("ix", F.floor(F.col("qx") + F.col("mx") * F.col("t"))).withColumn("iz", F.floor(F.col("qz") + F.col("mz") * F.col("t")))
     seen = rows.join(field.select("comp", "ix", "iz", "d"), ["comp", "ix", "iz"], "left")
-    per = seen.groupBy(*key).agg(F.min(F.when(F.col("d").isNull(), F.col("n"))).alias("stop"), F.collect_list(F.struct("n", "d")).alias("march"))
-    inside = F.filter("march", lambda m: m["d"].isNotNull() & (F.col("stop").isNull() | (m["n"] < F.col("stop"))))
-    return per.select(*key, F.coalesce(F.array_max(F.transform(inside, lambda m: m["d"])), F.lit(0.0)).alias("half_width"))
+    # clearances in marching order, the greatest before the first miss
+    per = seen.groupBy(*key).agg(F.min(F.when(F.col("d").isNull(), F.col("n"))).alias("stop"), *[F.max(F.when(F.col("n") == k, F.col("d"))).alias(f"d{k}") for k in range(int(cap * 2) + 1)])
+    inside = [F.when(F.col("stop").isNull() | (F.col("stop") > k), F.col(f"d{k}")) for k in range(int(cap * 2) + 1)]
+    return per.select(*key, F.coalesce(F.greatest(*inside), F.lit(0.0)).alias("half_width"))
 
 
 def severance(field: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:

@@ -37,7 +37,7 @@ TRACE = (
     + doubled()
     + f""",
 traced AS MATERIALIZED (
-  SELECT ring AS loop_id, max(d) OVER (PARTITION BY ring) - d AS pos, c.*, az - bz AS inx, bx - ax AS inz
+  SELECT ring AS loop_id, (max(d) OVER (PARTITION BY ring) - d)::BIGINT AS pos, c.*, az - bz AS inx, bx - ax AS inz
   FROM j{DOUBLINGS} JOIN rings ON node = e JOIN cracks c ON c.edge_id = e),
 flagged AS (
   SELECT *, wall <> coalesce(lag(wall) OVER (PARTITION BY loop_id ORDER BY pos), last_value(wall) OVER (PARTITION BY loop_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS turn
@@ -135,10 +135,10 @@ runs_of_walls AS (
 wall_lines AS (
   SELECT *, greatest(0::DOUBLE, list_max(list_transform(xs, lambda v, i: (v - mx) * nx + (zs[i] - mz) * nz))) AS bias, least(greatest(half_width - {OPTIONS.narrow_margin}::DOUBLE, 0), {OPTIONS.radius}::DOUBLE) AS off FROM runs_of_walls),
 offsets AS MATERIALIZED (
-  SELECT w.loop_id, w.seg, w.part::INT AS part, true AS label, w.n, half_width, off AS "offset", off < {OPTIONS.radius} - 1e-6 AS narrow, mx + w.nx * w.bias + w.nx * off AS ox, mz + w.nz * w.bias + w.nz * off AS oz,
+  SELECT w.loop_id, w.seg, w.part::BIGINT AS part, true AS label, w.n, half_width, off AS "offset", off < {OPTIONS.radius} - 1e-6 AS narrow, mx + w.nx * w.bias + w.nx * off AS ox, mz + w.nz * w.bias + w.nz * off AS oz,
     s.dx, s.dz, s.nx, s.nz, xs[1] AS first_x, zs[1] AS first_z, xs[-1] AS last_x, zs[-1] AS last_z FROM wall_lines w JOIN segments s USING (loop_id, seg)
   UNION ALL
-  SELECT loop_id, seg, 0, label, n, NULL, CASE WHEN nx IS NOT NULL THEN -{OPTIONS.dropoff_outset}::DOUBLE END, CASE WHEN nx IS NOT NULL THEN false END, cx + nx * -{OPTIONS.dropoff_outset}::DOUBLE, cz + nz * -{OPTIONS.dropoff_outset}::DOUBLE,
+  SELECT loop_id, seg, 0::BIGINT, label, n, NULL, CASE WHEN nx IS NOT NULL THEN -{OPTIONS.dropoff_outset}::DOUBLE END, CASE WHEN nx IS NOT NULL THEN false END, cx + nx * -{OPTIONS.dropoff_outset}::DOUBLE, cz + nz * -{OPTIONS.dropoff_outset}::DOUBLE,
     dx, dz, nx, nz, first_x, first_z, last_x, last_z FROM segments WHERE NOT label OR nx IS NULL)
 """
 

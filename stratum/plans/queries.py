@@ -40,7 +40,11 @@ def r6s(*names: str) -> list[Column]:
 
 def edges_of(spark: SparkSession, d: str, comps: bool = False) -> DataFrame:
     live = scenes.live_cells(spark, d)
-    return gridbounds.classify(live, scenes.dead_cells(spark, d), GRID, gridbounds.components(live, GRID) if comps else None)
+    if not comps:
+        return gridbounds.classify(live, scenes.dead_cells(spark, d), GRID)
+    live = materialize(spark, live)
+    covered = materialize(spark, gridbounds.covered_sides(live, GRID))
+    return gridbounds.classify(live, scenes.dead_cells(spark, d), GRID, gridbounds.components(live, GRID, covered), covered)
 
 
 def runs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -129,9 +133,10 @@ def cutting(spark: SparkSession, d: str) -> DataFrame:
     return gridbounds.cutting_cells(feet, gridbounds.floor_under(feet, scenes.live_cells(spark, d), scenes.dead_cells(spark, d), GRID), GRID)
 
 
-def frontier(spark: SparkSession, d: str) -> DataFrame:
+def frontier(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     cut = materialize(spark, cutting(spark, d))
-    return gridbounds.cut_frontier(cut, scenes.live_cells(spark, d), gridbounds.cut_by(edges_of(spark, d)), GRID)
+    edges = edges_of(spark, d) if edges is None else edges
+    return materialize(spark, gridbounds.cut_frontier(cut, scenes.live_cells(spark, d), gridbounds.cut_by(edges), GRID))
 
 
 @query
@@ -158,7 +163,7 @@ def cut_outline_runs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def wall_selection(spark: SparkSession, d: str) -> DataFrame:
     edges = materialize(spark, gridbounds.boundary(edges_of(spark, d, True)))
-    runs = gridbounds.wall_geometry(edges, frontier(spark, d), GRID)
+    runs = gridbounds.wall_geometry(edges, frontier(spark, d, edges), GRID)
     return gridbounds.run_stats(runs).select("kind", "source", "runs", r6("length").alias("length"))
 
 

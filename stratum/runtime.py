@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +14,33 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package by path."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    """Let Python workers of this session import the package: by path where they see the driver's
+    folder, else from an archive that Spark sends along with the tasks."""
+    context = spark.sparkContext
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT in paths:
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    if not is_local(spark):
+        context.addPyFile(archive())
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def archive() -> str:
+    """The package as a zip file in the driver's temporary folder."""
+    path = os.path.join(tempfile.mkdtemp(prefix="stratum-"), "stratum.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(ROOT, "stratum")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, ROOT))
+    return path
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,7 +49,7 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file:///tmp/stratum-checkpoints"
 

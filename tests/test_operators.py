@@ -251,3 +251,99 @@ def test_snapshot_versions(spark, tmp_path):
     plain.write_text("other\n")
     with pytest.raises(ValueError):
         snapshot.read_snapshot(spark, f"file://{plain}")
+
+
+def test_chain_of_falling_gaps_is_paired_to_the_end(spark):
+    places = [0.0]
+    for k in range(40):
+        places.append(places[-1] + 2.4 - k * 0.03)
+    rows = [(round(x * 1000), 0, 0, x, 0.0, 0.0) for x in places]
+    ends = spark.createDataFrame(rows, "kx bigint, ky bigint, kz bigint, px double, py double, pz double")
+    got = {(r.i.kx, r.j.kx) for r in closure.stitch_pairs(closure.stitch_candidates(ends, 2.5)).collect()}
+    left = sorted((round(b[3] - a[3], 9), a[0], b[0]) for a, b in itertools.combinations(rows, 2) if b[3] - a[3] <= 2.5)
+    used, want = set(), set()
+    for _, a, b in left:
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    assert got == want and len(want) > closure.PAIR_ROUNDS * 2
+
+
+def test_characters_at_any_depth(spark):
+    rows = [(0, None, "Model"), (1, 0, "Humanoid")] + [(k, k - 1 if k > 2 else 0, "Part") for k in range(2, 200)]
+    schema = "instance_id bigint, parent_id bigint, class string"
+    assert surface.characters(spark.createDataFrame(rows, schema)).count() == 199
+    with pytest.raises(ValueError):
+        surface.characters(spark.createDataFrame([(1, 2, "Part"), (2, 1, "Part")], schema))
+
+
+def test_closed_meshes_are_filled(spark):
+    corner = [(x, y, z) for x in (1.2, 6.7) for y in (0.3, 4.6) for z in (2.4, 7.9)]
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    rows = [(1, *corner[a], *corner[b], *corner[c]) for q in quads for a, b, c in ((q[0], q[1], q[2]), (q[0], q[2], q[3]))]
+    triangles = spark.createDataFrame(rows, "part_id bigint, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz"))
+    root = octree.Root(0.0, 0.0, 0.0, 1.0, 3)
+    inside = {(r.ix, r.iy, r.iz) for r in octree.fill_meshes(triangles, root).collect()}
+    assert inside == {(x, y, z) for x in range(8) for y in range(8) for z in range(8) if 1.2 < x + 0.5 < 6.7 and 0.3 < y + 0.5 < 4.6 and 2.4 < z + 0.5 < 7.9}
+    shell = octree.insert_triangles(triangles, root).select("ix", "iy", "iz")
+    all_cells = {(r.ix, r.iy, r.iz) for r in shell.collect()} | inside
+    assert all_cells == {(x, y, z) for x in range(1, 7) for y in range(5) for z in range(2, 8)}
+
+
+def test_collapse_takes_nodes_of_any_depth(spark):
+    rnd = random.Random(11)
+    root = octree.Root(0.0, 0.0, 0.0, 1.0, 4)
+    nodes = [(2, 0, 0, 0), (1, 1, 1, 1), (4, 15, 15, 15), (4, 1, 1, 1)] + [(3, x, y, z) for x in (2, 3) for y in (0, 1) for z in (0, 1)]
+    nodes += [(4, rnd.randrange(16), rnd.randrange(16), rnd.randrange(16)) for _ in range(900)]
+    unit = set()
+    for d, x, y, z in nodes:
+        e = 1 << (4 - d)
+        unit |= {(x * e + i, y * e + j, z * e + k) for i in range(e) for j in range(e) for k in range(e)}
+    want, filled = set(), {4: unit}
+    for d in range(3, -1, -1):
+        below = filled[d + 1]
+        filled[d] = {(x, y, z) for x, y, z in {(a // 2, b // 2, c // 2) for a, b, c in below} if all((2 * x + i, 2 * y + j, 2 * z + k) in below for i in (0, 1) for j in (0, 1) for k in (0, 1))}
+    for d in range(5):
+        want |= {(d, *c) for c in filled[d] if d == 0 or tuple(v // 2 for v in c) not in filled[d - 1]}
+    got = octree.collapse(spark.createDataFrame(nodes, "depth int, ix bigint, iy bigint, iz bigint"), root)
+    assert {(r.depth, r.ix, r.iy, r.iz) for r in got.collect()} == want
+
+
+def test_triangle_and_box_tests_match_sampling(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(k, *map(float, rnd.uniform(-1.2, 1.2, 12))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{p}{a} double" for p in "abcq" for a in "xyz"))
+    got = {r.k: r.hit for r in df.select("k", g.triangle_hits_cube(v.of("a"), v.of("b"), v.of("c"), v.of("q"), F.lit(0.5)).alias("hit")).collect()}
+    s, t = np.meshgrid(np.linspace(0, 1, 120), np.linspace(0, 1, 120))
+    s, t = s[s + t <= 1], t[s + t <= 1]
+    agree = 0
+    for row in rows:
+        a, b, c, q = (np.array(row[1 + 3 * n : 4 + 3 * n]) for n in range(4))
+        reach = np.abs(a + s[:, None] * (b - a) + t[:, None] * (c - a) - q).max(axis=1).min()
+        # samples lie within a fiftieth of any place of the triangle
+        if reach <= 0.5:
+            assert got[row[0]]
+        if got[row[0]]:
+            assert reach <= 0.53
+        agree += got[row[0]]
+    assert 30 < agree < 270
+
+
+def test_farthest_point_is_a_corner_of_the_hull():
+    rnd = random.Random(4)
+    for _ in range(100):
+        line = contour.Line()
+        for _ in range(rnd.randrange(2, 40)):
+            line.push(rnd.randrange(30) + 0.5, rnd.randrange(3) + 0.5)
+        cx, cz, dx, dz = line.fit()
+        assert abs(line.deviation() - max(abs((x - cx) * -dz + (z - cz) * dx) for x, z in zip(line.x, line.z, strict=True))) < 1e-12
+
+
+def test_wide_open_field_costs_linear_time(spark):
+    import time
+
+    size = 400
+    cells = spark.range(size * size).select(F.lit(0).cast("bigint").alias("comp"), (F.col("id") % size).alias("ix"), F.expr(f"id div {size}").alias("iz"), F.col("id").alias("sid"), F.lit(0.0).alias("y"), F.lit(0).alias("blocked"))
+    began = time.time()
+    found = lattice.distance_field(cells).agg(F.max("d2").alias("most"), F.sum(F.when(F.col("d2") != F.pow(F.least(F.col("ix") + 1, F.col("iz") + 1, size - F.col("ix"), size - F.col("iz")), 2), 1).otherwise(0)).alias("wrong")).first()
+    assert (found.most, found.wrong) == ((size // 2) ** 2, 0) and time.time() - began < 60
