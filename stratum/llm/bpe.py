@@ -24,10 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, prepare, remembers
 
-#: Fixed values of the vocabulary's own definition: white space that its normalizer folds,
-#: and its split pattern.
+#: Fixed value: white space that the vocabulary's normalizer folds.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: A plain word before one of these is one piece, and the mark another.
 ENDS = frozenset(".,;:!?")
@@ -73,7 +71,11 @@ class WordBpe:
         #: str.split() also parts at these; the vocabulary's white space does not.
         self.odd = re.compile("[\x1c-\x1f]")
         self.pieces: dict[str, list[int]] = {}
-        self.split = regex.compile(SPLIT)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        self.pattern: str = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
+        self.split = regex.compile(self.pattern)
+        self.path = path
+        self.library = None
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Repeatedly delete the boundary of lowest rank (leftmost on ties) until none is left.
@@ -120,6 +122,16 @@ class WordBpe:
         parts.append(self.last[raw[-1]])
         return self.merge_short(parts) if len(parts) <= SHORT_WORD else self.merge_long(parts)
 
+    def newer_pieces(self, word: str) -> list[str]:
+        """Pieces of a word with letters that are newer than Python's Unicode tables, or with control
+        characters: the library normalizes and splits it."""
+        if self.library is None:
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            self.library = Tokenizer.from_file(self.path).normalizer, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        normalizer, split = self.library
+        return [piece for piece, _ in split.pre_tokenize_str(normalizer.normalize_str(word))]
+
     def encode_word(self, word: str) -> bytes:
         """Ids of a normalized run without white space, which may hold several pieces,
         as little-endian unsigned 32-bit integers."""
@@ -130,7 +142,11 @@ class WordBpe:
             else:
                 ids, known = [], self.pieces
                 plain = word[-1] in ENDS and word[:-1].isascii() and word[:-1].isalpha()
-                for piece in (word[:-1], word[-1]) if plain else self.split.findall(word):
+                if plain:
+                    pieces = [word[:-1], word[-1]]
+                else:
+                    pieces = self.split.findall(word) if word.isprintable() else self.newer_pieces(word)
+                for piece in pieces:
                     got = known.get(piece)
                     if got is None:
                         got = self.encode_piece(piece)

@@ -52,6 +52,8 @@ def test_bpe_equals_the_library(spark, real, odd, empty):
     own = bpe.load(vocabulary())
     rnd = random.Random(1)
     texts = [t for _, t, _ in real[:60]] + [t or "" for t in ODD if t is not LONG] + ["".join(rnd.choice("aeΣσς'stİÉé \n\t\x1d\x85.,!12½日😀ẞ<|>endoftextﬁÅ") for _ in range(rnd.randrange(40))) for _ in range(400)]
+    newer = [0x88F, 0x1C89, 0xA7CB, 0xA7DC, 0x10D50, 0x11DB0, 0x16EA0, 0x16EBB, 0x1E6C0, 0x323B0]
+    texts += ["".join(rnd.choice("ab é1.\x01" + "".join(map(chr, newer))) for _ in range(rnd.randrange(30))) for _ in range(100)]
     for t in texts:
         want = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == want
