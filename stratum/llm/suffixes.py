@@ -18,8 +18,11 @@ suffixes at anchors need sorting. The sort runs as an external merge sort over t
    A string occurs again exactly if another anchor shares both classes.
 
 The result is exact: strings are compared by bytes, overlapping and same-document repeats count.
-Rows go by a 64-bit hash of id and text. Suffixes with one core and many different continuations
-meet in one merge group, however many they are.
+Rows go by a 64-bit hash of id and text.
+
+A core (the bytes that all strings of an anchor share) with very many suffixes is not one group:
+its offsets are cut into slices, and within a slice only suffixes that agree on all the bytes that
+the slice's strings share meet, at 24 offsets a slice 376 of 400 bytes.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than
 `length` are kept; repeated rows are repeats of each other; null ids are kept as ids; other
@@ -47,7 +50,8 @@ class SuffixConfig:
     """length: bytes of a string that counts as repeated; window: positions an anchor is chosen
     from; run_rows: suffixes sorted at once in a task; block_rows: suffixes per merge group; words:
     if not 0, strings of that many words and fewer than `length` bytes are sought instead; keep_one:
-    of equal strings the one of the least row hash, then place, is no repeat."""
+    of equal strings the one of the least row hash, then place, is no repeat; hot_rows: suffixes of
+    one core above which its offsets are sliced, into so many slices."""
 
     length: int = 400
     window: int = 192
@@ -55,6 +59,8 @@ class SuffixConfig:
     block_rows: int = 30_000
     words: int = 0
     keep_one: bool = False
+    hot_rows: int = 100_000
+    slices: int = 8
 
     @property
     def core(self) -> int:
@@ -107,12 +113,12 @@ def anchors(data: np.ndarray, config: SuffixConfig) -> tuple[np.ndarray, np.ndar
     return a, a - last, a - first
 
 
-def core_hashes(data: np.ndarray, at: np.ndarray, config: SuffixConfig) -> np.ndarray:
-    """Polynomial hashes of the core bytes at the given positions."""
+def core_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of the `size` bytes at the given positions."""
     up, down = powers(data.size + 1)
     sums = np.zeros(data.size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:])
-    h = (sums[at + config.core] - sums[at]) * up[at]
+    h = (sums[at + size] - sums[at]) * up[at]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
 
@@ -313,7 +319,7 @@ def find_anchors(docs: DataFrame, config: SuffixConfig) -> DataFrame:
             if a.size:
                 kids.append(np.full(a.size, kid, np.int64))
                 ats.append(a)
-                hashes.append(core_hashes(data, a, config).view(np.int64))
+                hashes.append(core_hashes(data, a, config.core).view(np.int64))
         if not kids:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["kid", "at", "h"])
@@ -364,6 +370,31 @@ def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> Dat
             out.append((groups + int(kid[known[0]] % groups), zstandard.ZstdCompressor(level=1).compress(ranges.astype("<i8").tobytes())))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["pid", "block"])
 
+    def sort_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        padded = np.concatenate((np.zeros(config.window - 1, np.uint8), data, np.zeros(config.length, np.uint8)))
+        view = np.lib.stride_tricks.sliding_window_view(padded, config.key)[at]
+        return np.concatenate((view[:, config.window - 1 :], view[:, config.window - 2 :: -1]), axis=1)
+
+    def parts(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+        """keys, at, low, high, pid of suffixes; of hot ones once for each slice of their offsets."""
+        for s in range(0, at.size, config.run_rows):
+            p = slice(s, s + config.run_rows)
+            a, l, h = (x[p][~hot[p]] for x in (at, low, high))
+            yield sort_keys(data, a), a, l, h, core_hashes(data, a, config.core)
+        step = -(-config.window // config.slices)
+        for s in range(0, at.size if hot.any() else 0, config.run_rows):
+            p = slice(s, s + config.run_rows)
+            for first in range(0, config.window, step):
+                last = min(first + step, config.window) - 1
+                some = hot[p] & (low[p] <= last) & (high[p] >= first)
+                a, l, h = at[p][some], np.maximum(low[p][some], first), np.minimum(high[p][some], last)
+                keys = sort_keys(data, a)
+                # beyond these bytes no string of the slice reaches
+                keys[:, config.length - first : config.length] = 0
+                keys[:, config.length + last :] = 0
+                name = core_hashes(data, a - first, config.length - last + first)
+                yield keys, a, l, h, name + np.uint64(first) * np.uint64(0x9E3779B97F4A7C15)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         focus("suffixes")
         unpack = zstandard.ZstdDecompressor()
@@ -372,16 +403,16 @@ def sorted_runs(candidates: DataFrame, groups: int, config: SuffixConfig) -> Dat
             for kid, z, ats in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = np.frombuffer(unpack.decompress(z), np.uint8)
                 a, low, high = anchors(data, config)
-                keep = np.isin(a, np.array(ats))
+                wanted = np.array([x["at"] for x in ats])
+                keep = np.isin(a, wanted)
                 a, low, high = a[keep], low[keep], high[keep]
-                for s in range(0, a.size, config.run_rows):
-                    p = a[s : s + config.run_rows]
-                    padded = np.concatenate((np.zeros(config.window - 1, np.uint8), data, np.zeros(config.length, np.uint8)))
-                    view = np.lib.stride_tricks.sliding_window_view(padded, config.key)[p]
-                    keys = np.concatenate((view[:, config.window - 1 :], view[:, config.window - 2 :: -1]), axis=1)
-                    pid = (core_hashes(data, p, config) % np.uint64(groups)).astype(np.int64)
-                    chunks.append((keys, np.full(p.size, kid, np.int64), p, low[s : s + p.size], high[s : s + p.size], pid))
-                    rows += p.size
+                hot = np.isin(a, wanted[[x["hot"] for x in ats]])
+                for keys, at, l, h, name in parts(data, a, low, high, hot):
+                    if not at.size:
+                        continue
+                    pid = (name % np.uint64(groups)).astype(np.int64)
+                    chunks.append((keys, np.full(at.size, kid, np.int64), at, l, h, pid))
+                    rows += at.size
                     if rows >= config.run_rows:
                         yield blocks(chunks)
                         chunks, rows = [], 0
@@ -431,9 +462,11 @@ def repeated_ranges(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> D
     prepare(spark)
     marks = materialize(spark, find_anchors(docs, config))
     twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    ats = materialize(spark, with_counts(marks, twice, "h").groupBy("kid").agg(F.collect_set("at").alias("ats")))
+    place = F.struct("at", (F.col("n") > config.hot_rows).alias("hot"))
+    ats = materialize(spark, with_counts(marks, twice, "h").groupBy("kid").agg(F.collect_set(place).alias("ats")))
     discard(marks)
-    total = ats.agg(F.sum(F.size("ats")).alias("n")).first().n or 0
+    sliced = F.size(F.filter("ats", lambda x: x["hot"])) * (config.slices - 1)
+    total = ats.agg(F.sum(F.size("ats") + sliced).alias("n")).first().n or 0
     groups = max(1, -(-total // config.block_rows))
     runs = sorted_runs(packed_texts(docs).join(ats, "kid"), groups, config)
 

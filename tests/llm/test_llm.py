@@ -73,11 +73,12 @@ def test_bpe_long_words_match_short_ones():
 
 def test_suffixes_equal_brute_force(spark, empty):
     rnd = random.Random(4)
-    config = suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60)
+    configs = [suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60, **hot) for hot in ({}, {"hot_rows": 3, "slices": 4}, {"hot_rows": 1, "slices": 16}, {"hot_rows": 8, "slices": 3})]
     base = ["".join(rnd.choice("abcdé \n") for _ in range(120)) for _ in range(4)]
     texts = [None, "", "short", "a" * 150, base[0], base[0]] + [rnd.choice(base)[rnd.randrange(40) :] + "".join(rnd.choice("xyz") for _ in range(9)) + rnd.choice(base)[: rnd.randrange(30, 120)] for _ in range(40)]
-    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.remove_repeats(docs_of(spark, texts), config).collect()}
-    assert [got[i] for i in range(len(texts))] == suffixes.brute_force(texts, 40)
+    for config in configs:
+        got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.remove_repeats(docs_of(spark, texts), config).collect()}
+        assert [got[i] for i in range(len(texts))] == suffixes.brute_force(texts, 40)
     assert suffixes.remove_repeats(empty, config).count() == 0
 
 
@@ -500,7 +501,7 @@ def hashes_of(df):
 
 def test_one_copy_of_a_repeat_stays(spark):
     rnd = random.Random(23)
-    config = suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60, keep_one=True)
+    config = suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60, keep_one=True, hot_rows=6, slices=4)
     base = ["".join(rnd.choice("abcde \n") for _ in range(120)) for _ in range(4)]
     texts = [None, "", "a" * 150, base[0], base[0]] + [rnd.choice(base)[rnd.randrange(40) :] + "".join(rnd.choice("xyz") for _ in range(9)) + rnd.choice(base)[: rnd.randrange(30, 120)] for _ in range(40)]
     docs = docs_of(spark, texts)
