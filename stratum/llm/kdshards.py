@@ -15,6 +15,7 @@ rows; one group heavier than the target fills its leaf alone; null ids sort firs
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,8 +78,12 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def small(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
-    """A broadcast table of one row per open node; there are fewer nodes than two per shard."""
-    return F.broadcast(rows.sparkSession.createDataFrame(values, schema))
+    """A broadcast table of one row per open node, parsed from one literal; there are fewer nodes than
+    two per shard."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, x, strict=True)) for x in values])
+    kind = "array<struct<" + ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", ")) + ">>"
+    return F.broadcast(rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind))))
 
 
 def split_level(rows: DataFrame, open_nodes: list[Node], number: int) -> DataFrame:
