@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,30 @@ def closed_labels(wall: list[bool], least: int) -> list[bool]:
     return out
 
 
+#: Rows of loops that one task takes at a time; a longer loop is a group of its own.
+LOOP_ROWS = 50_000
+
+
+def slices(table: pa.Table) -> dict[int, pa.Table]:
+    """The rows of each loop."""
+    loop = table.column("loop_id").to_numpy()
+    order = np.argsort(loop, kind="stable")
+    table, loop = table.take(pa.array(order)), loop[order]
+    cuts = np.flatnonzero(np.concatenate(([True], loop[1:] != loop[:-1], [True]))) if loop.size else []
+    return {int(loop[s]): table.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False)}
+
+
+def dealt(rows: DataFrame, groups: int) -> DataFrame:
+    return rows.withColumn("pid", F.pmod(F.xxhash64("loop_id"), F.lit(groups)))
+
+
+def by_loop(rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Apply run to the rows of each loop; a task takes many loops at once."""
+    prepare(rows.sparkSession)
+    groups = max(1, -(-rows.count() // LOOP_ROWS))
+    return dealt(rows, groups).groupBy("pid").applyInArrow(lambda table: pa.concat_tables([run(t) for t in slices(table).values()]), schema)
+
+
 def trace(loop_table: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:
     """Order each loop from its least (az, ax, dir) and close its labels: loop_id, pos, edge_id,
     comp, sid, dir, wall, label, ix, iz, inx, inz (inward, to the left of travel)."""
@@ -63,10 +88,7 @@ def trace(loop_table: DataFrame, options: LatticeOptions = LatticeOptions()) ->
             pick | {"pos": np.arange(len(order)), "label": np.array(label, bool), "inx": -(cols["bz"] - cols["az"])[order], "inz": (cols["bx"] - cols["ax"])[order]}
         ).select(["loop_id", "pos", "edge_id", "comp", "sid", "dir", "wall", "label", "ix", "iz", "inx", "inz"])
 
-    prepare(loop_table.sparkSession)
-    return loop_table.groupBy("loop_id").applyInArrow(
-        run, "loop_id bigint, pos bigint, edge_id bigint, comp bigint, sid bigint, dir int, wall boolean, label boolean, ix bigint, iz bigint, inx bigint, inz bigint"
-    )
+    return by_loop(loop_table, run, "loop_id bigint, pos bigint, edge_id bigint, comp bigint, sid bigint, dir int, wall boolean, label boolean, ix bigint, iz bigint, inx bigint, inz bigint")
 
 
 def loop_points(traced: DataFrame) -> DataFrame:
@@ -226,8 +248,7 @@ def fit_segments(points: DataFrame, options: LatticeOptions = LatticeOptions(),
         kinds = [pa.bool_() if n == "label" else pa.int64() if k < 7 else pa.float64() for k, n in enumerate(names)]
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
-    prepare(points.sparkSession)
-    return points.groupBy("loop_id").applyInArrow(run, SEGMENTS)
+    return by_loop(points, run, SEGMENTS)
 
 
 def point_widths(points: DataFrame, segments: DataFrame, field: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:
@@ -302,13 +323,20 @@ def offset_segments(points: DataFrame, segments: DataFrame, widths: DataFrame, o
                 cx, cz = cx + nx * bias, cz + nz * bias
                 offset = min(max(least - options.narrow_margin, 0.0), options.radius)
                 out.append((s["loop_id"], s["seg"], k, True, len(sub), *ends(sub), cx, cz, dx, dz, nx, nz, least, 2 * least, bias, offset, offset < options.radius - 1e-6, cx + nx * offset, cz + nz * offset))
-        names = [c.split()[0] for c in OFFSETS.split(", ")]
-        kinds = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in OFFSETS.split(", ")]
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
+    names = [c.split()[0] for c in OFFSETS.split(", ")]
+    kinds = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in OFFSETS.split(", ")]
     with_width = points.join(widths.select("loop_id", "pos", "half_width"), ["loop_id", "pos"], "left").select("loop_id", "pos", "x", "z", "half_width")
-    own = segments.select(F.col("loop_id").alias("of_loop"), *[c for c in segments.columns if c != "loop_id"], F.col("loop_id"))
-    return with_width.groupBy("loop_id").cogroup(own.groupBy("of_loop")).applyInArrow(run, OFFSETS)
+    groups = max(1, -(-points.count() // LOOP_ROWS))
+    empty = pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+
+    def many(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_loop = slices(left)
+        return pa.concat_tables([empty, *(run(of_loop[k], t) for k, t in slices(right).items())])
+
+    prepare(points.sparkSession)
+    return dealt(with_width, groups).groupBy("pid").cogroup(dealt(segments, groups).groupBy("pid")).applyInArrow(many, OFFSETS)
 
 
 def polygons(offsets: DataFrame, options: LatticeOptions = LatticeOptions()) -> DataFrame:
@@ -350,7 +378,7 @@ def bake(surfels: DataFrame, options: LatticeOptions = LatticeOptions()) -> tupl
     spark = surfels.sparkSession
     nodes = lattice(surfels)
     cell_table = materialize(spark, cells(nodes, components(nodes, options)))
-    traced = trace(loops(materialize(spark, crack_edges(cell_table))), options)
+    traced = trace(materialize(spark, loops(materialize(spark, crack_edges(cell_table)))), options)
     points = materialize(spark, loop_points(traced))
     offsets = offset_lines(points, materialize(spark, distance_field(cell_table)), options)
     shapes = materialize(spark, polygons(offsets, options))

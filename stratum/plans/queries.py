@@ -278,8 +278,9 @@ def crack_successor(spark: SparkSession, d: str) -> DataFrame:
     return lattice.successors(lattice.crack_edges(lattice_cells(spark, d)))
 
 
-def loops_of(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(spark, lattice.loops(materialize(spark, lattice.crack_edges(lattice_cells(spark, d)))))
+def loops_of(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+    cells = lattice_cells(spark, d) if cells is None else cells
+    return materialize(spark, lattice.loops(materialize(spark, lattice.crack_edges(cells))))
 
 
 @query
@@ -297,8 +298,8 @@ def loop_points(spark: SparkSession, d: str) -> DataFrame:
     return contour.loop_points(contour.trace(loops_of(spark, d), LATTICE)).select("loop_id", "pos", "x", "z", "label")
 
 
-def points_of(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(spark, contour.loop_points(contour.trace(loops_of(spark, d), LATTICE)))
+def points_of(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+    return materialize(spark, contour.loop_points(contour.trace(loops_of(spark, d, cells), LATTICE)))
 
 
 @query
@@ -318,7 +319,7 @@ def fit_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def offsets_of(spark: SparkSession, d: str) -> DataFrame:
     cells = lattice_cells(spark, d)
-    return contour.offset_lines(points_of(spark, d), materialize(spark, lattice.distance_field(cells)), LATTICE)
+    return contour.offset_lines(points_of(spark, d, cells), materialize(spark, lattice.distance_field(cells)), LATTICE)
 
 
 @query
