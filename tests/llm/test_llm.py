@@ -281,6 +281,18 @@ def test_counts_beyond_their_type_bound_nothing(spark):
     assert got == {d: c for d, (_, c) in shingles.brute_force(list(enumerate(texts))).items()}
 
 
+def test_sets_of_millions_of_shingles_meet():
+    rnd = np.random.default_rng(28)
+    base = np.unique(rnd.integers(0, 1 << 63, 4_400_000).astype(np.uint64))
+    sets = [base, np.unique(np.concatenate((base[:4_300_000], rnd.integers(0, 1 << 63, 50_000).astype(np.uint64)))), rnd.integers(0, 1 << 63, 1000).astype(np.uint64)]
+    config = shingles.ShingleConfig()
+    for groups, counter in ((config.groups, config.counter), (config.fine_groups, config.fine_counter)):
+        points = np.stack([shingles.count_vector(s, groups, counter) for s in sets])
+        tree = shingles.CountTree(points, np.array([s.size for s in sets]), np.arange(3), config)
+        assert [sorted((int(u[0]), int(v[0]))) for u, v in tree.pairs()] == [[0, 1]]
+        assert tree.partnered().tolist() == [True, True, False]
+
+
 def test_weighted_samples(spark, odd, empty):
     texts = ["the cat sat on the mat. The cat!", "a different text, with words and words", "", None, "one", "the cat sat on the mat. The cat!"]
     got = sampling.neighbour_fingerprints(docs_of(spark, texts)).orderBy("doc_id").collect()
