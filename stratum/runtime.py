@@ -13,10 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Rows of an Arrow batch. Spark's default would make batches of tens of megabytes of text, held
+#: several times over on both sides; a session that sets another number keeps it.
+BATCH_ROWS, DEFAULT_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers of this session import the package: by path where they see the driver's
-    folder, else from an archive that Spark sends along with the tasks."""
+    folder, else from an archive that Spark sends along with the tasks. Batches for them are small."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_ROWS, ROWS)
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT in paths:
         return

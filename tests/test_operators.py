@@ -347,3 +347,27 @@ def test_wide_open_field_costs_linear_time(spark):
     began = time.time()
     found = lattice.distance_field(cells).agg(F.max("d2").alias("most"), F.sum(F.when(F.col("d2") != F.pow(F.least(F.col("ix") + 1, F.col("iz") + 1, size - F.col("ix"), size - F.col("iz")), 2), 1).otherwise(0)).alias("wrong")).first()
     assert (found.most, found.wrong) == ((size // 2) ** 2, 0) and time.time() - began < 60
+
+
+def test_scratch_folder_is_shared_or_refused():
+    from types import SimpleNamespace
+
+    from stratum import runtime
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert runtime.scratch_dir(session("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    assert runtime.scratch_dir(session("local[4]", None)).startswith("file:///tmp/")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            runtime.scratch_dir(session(master, None))
+
+
+def test_archive_holds_the_package():
+    import zipfile
+
+    from stratum import runtime
+
+    names = zipfile.ZipFile(runtime.archive()).namelist()
+    assert "stratum/__init__.py" in names and "stratum/operators/octree.py" in names
