@@ -49,7 +49,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a lower-casing word-end BPE vocabulary in tokenizers' JSON form."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
+        self.memory = memory
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -153,11 +154,11 @@ class WordBpe:
                         if len(piece) <= SHORT_WORD:
                             known[piece] = got
                     ids += got
-                if len(known) >= MEMORY_WORDS // 4:
+                if len(known) >= self.memory // 4:
                     known.clear()
             packed = struct.pack(f"<{len(ids)}I", *ids)
         # words not met for a whole generation are forgotten; frequent ones move on
-        if len(self.words) >= MEMORY_WORDS * 3 // 8:
+        if len(self.words) >= self.memory * 3 // 8:
             self.older, self.words = self.words, {}
         if len(word) <= SHORT_WORD:
             self.words[word] = packed
@@ -201,15 +202,15 @@ class WordBpe:
         return " ".join([token[i] for i in ids if i in token])
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[tuple[str, int], WordBpe] = {}
 remembers("bpe", _loaded.clear)
 
 
-def load(path: str) -> WordBpe:
-    """One encoder per worker process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+def load(path: str, memory: int = MEMORY_WORDS) -> WordBpe:
+    """One encoder per worker process, vocabulary and number of words to remember."""
+    if (path, memory) not in _loaded:
+        _loaded[path, memory] = WordBpe(path, memory)
+    return _loaded[path, memory]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import MEMORY_WORDS, load
 from .common import focus, materialize, prepare
 
 
@@ -37,7 +37,7 @@ class PackingConfig:
     stretch_penalty: cost, in padded ids, of a cut at a sentence end or inside a stretch;
     stretch: ids without a boundary after which cuts become possible; segment: ids that one
     pass of the dynamic programme covers, which bounds a task's memory; tails: ends of tasks that
-    one task of the second pass takes, less than a window each."""
+    one task of the second pass takes, less than a window each; memory: words an encoder remembers."""
 
     length: int = 4096
     end_id: int = 2
@@ -46,6 +46,7 @@ class PackingConfig:
     stretch: int = 256
     segment: int = 1_500_000
     tails: int = 256
+    memory: int = MEMORY_WORDS
 
     def __post_init__(self) -> None:
         if not 1 <= self.stretch <= self.length:
@@ -180,7 +181,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = Pac
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         focus("bpe")
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, config.memory)
         context = TaskContext.get()
         packer = Packer(sentence_ids(bpe.token, bpe.end), config, (context.partitionId() if context else 0) << 40)
         for batch in batches:
@@ -192,7 +193,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = Pac
 
     def join(table: pa.Table) -> pa.Table:
         focus("bpe")
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, config.memory)
         rows = sorted(table.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
         # its first task used fewer sequence ids than this
         packer = Packer(sentence_ids(bpe.token, bpe.end), config, (rows[0]["sequence_id"] >> 40 << 40) + (1 << 39))
