@@ -55,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 4096 ids, of texts without the repeated passages of over 50 short words
     that are too short for the suffix stage."""
     # written first, so that no task runs two Python workers
-    return packing.pack_documents(materialize(spark, without_repeats(docs, SHORT_WORDS)), vocabulary())
+    return packing.pack_documents(materialize(spark, without_repeats(docs, SHORT_WORDS)), vocabulary(), packing.PackingConfig(memory=250_000))
 
 
 STAGES = [
