@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import GridOptions
 from ..functions import vectors as v
-from ..runtime import materialize, prepare
+from ..runtime import materialize, prepare, shuffled_join
 from .graph import connected_components
 
 #: Rounds of mutually nearest ends before the rest is paired group by group.
@@ -36,7 +36,7 @@ def open_ends(runs: DataFrame, eps: float = 0.05) -> DataFrame:
     """Ends at vertices that only one run touches (a three-way junction is closed)."""
     rows = endpoints(runs, eps)
     one = rows.groupBy("kx", "ky", "kz").agg(F.count("*").alias("degree")).where("degree = 1")
-    return rows.join(one.drop("degree"), ["kx", "ky", "kz"])
+    return shuffled_join(rows, one.drop("degree"), ["kx", "ky", "kz"])
 
 
 def audit(runs: DataFrame, eps: float = 0.05, samples: int = 12) -> DataFrame:
@@ -47,7 +47,7 @@ def audit(runs: DataFrame, eps: float = 0.05, samples: int = 12) -> DataFrame:
     few = degree.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy("kx", "ky", "kz")))
     opened = few.groupBy("scope").agg(F.count("*").alias("open_ends"), F.sort_array(F.collect_list(F.when(F.col("n") <= samples, F.struct("n", "at")))).alias("sample"))
     total = labelled.groupBy("scope").agg(F.count("*").alias("runs"))
-    return total.join(opened, "scope", "left").select("scope", "runs", F.coalesce("open_ends", F.lit(0)).alias("open_ends"), F.coalesce(F.transform("sample", lambda s: s["at"]), F.array()).alias("sample"))
+    return shuffled_join(total, opened, "scope", "left").select("scope", "runs", F.coalesce("open_ends", F.lit(0)).alias("open_ends"), F.coalesce(F.transform("sample", lambda s: s["at"]), F.array()).alias("sample"))
 
 
 def stitch_candidates(ends_: DataFrame, gap: float) -> DataFrame:
@@ -59,7 +59,7 @@ def stitch_candidates(ends_: DataFrame, gap: float) -> DataFrame:
     spread = F.explode(F.array(*[F.struct(*[F.lit(o).alias(k) for o, k in zip((x, y, z), "xyz", strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
     right = rows.select(F.col("key").alias("j"), *v.named(v.of("p"), "q"), *[c.alias(f"h{k}") for c, k in zip(cell, "xyz", strict=True)], spread.alias("o"))
     right = right.select("j", "qx", "qy", "qz", *[(F.col(f"h{k}") + F.col(f"o.{k}")).alias(f"g{k}") for k in "xyz"])
-    pairs = left.join(right, ["gx", "gy", "gz"]).where("i < j")
+    pairs = shuffled_join(left, right, ["gx", "gy", "gz"]).where("i < j")
     pairs = pairs.withColumn("d", v.length(v.sub(v.of("p"), v.of("q"))))
     return pairs.where((F.col("d") <= gap) & (F.col("d") > 1e-6)).select("i", "j", "d")
 
@@ -82,7 +82,8 @@ def stitch_pairs(candidates: DataFrame) -> DataFrame:
         mutual = materialize(spark, mutual)
         chosen = mutual if chosen is None else chosen.unionByName(mutual)
         used = mutual.select(F.col("i").alias("e")).unionByName(mutual.select(F.col("j").alias("e")))
-        left = left.join(used.withColumnRenamed("e", "i"), "i", "left_anti").join(used.withColumnRenamed("e", "j"), "j", "left_anti")
+        for e in "ij":
+            left = shuffled_join(left, used.withColumnRenamed("e", e), e, "left_anti")
         left = materialize(spark, left.select("o", "d", "i", "j"))
     rest = greedy_pairs(left)
     return rest if chosen is None else chosen.unionByName(rest)
@@ -108,7 +109,7 @@ def greedy_pairs(candidates: DataFrame) -> DataFrame:
 
     prepare(spark)
     ends = [f"{e}{k}" for e in "ij" for k in "xyz"]
-    kept = flat.join(roots, "node").select("node", "component", "o", "d", *ends).groupBy("component").applyInArrow(run, "o double, d double, " + ", ".join(f"{c} bigint" for c in ends))
+    kept = shuffled_join(flat, roots, "node").select("node", "component", "o", "d", *ends).groupBy("component").applyInArrow(run, "o double, d double, " + ", ".join(f"{c} bigint" for c in ends))
     return kept.select("o", "d", *[F.struct(*[F.col(f"{e}{k}").alias(f"k{k}") for k in "xyz"]).alias(e) for e in "ij"])
 
 
@@ -121,7 +122,7 @@ def tee_targets(ends_: DataFrame, runs: DataFrame, gap: float) -> DataFrame:
     spread = runs.select("run_id", *v.named(v.of("a"), "a"), *v.named(v.of("b"), "b"), F.explode(F.sequence(low[0], high[0])).alias("gx"), low[1].alias("_l"), high[1].alias("_h"))
     spread = spread.withColumn("gz", F.explode(F.sequence("_l", "_h"))).drop("_l", "_h")
     rows = ends_.select(F.struct("kx", "ky", "kz").alias("e"), F.col("run_id").alias("own"), *v.named(v.of("p"), "p"), F.floor(F.col("px") / pitch).alias("gx"), F.floor(F.col("pz") / pitch).alias("gz"))
-    pairs = rows.join(spread, ["gx", "gz"]).where("own <> run_id")
+    pairs = shuffled_join(rows, spread, ["gx", "gz"]).where("own <> run_id")
     ab = v.sub(v.of("b"), v.of("a"))
     size = v.dot(ab, ab)
     t = v.clamp(v.dot(v.sub(v.of("p"), v.of("a")), ab) / size, 0.0, 1.0)
@@ -148,13 +149,13 @@ def stitch(runs: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
     both = F.when((F.col("kind_i") == "wall") & (F.col("kind_j") == "wall"), "wall").otherwise("dropoff")
     null = F.lit(None).cast("bigint")
     rest = ["grid_id", "killer_id"]
-    bridges = paired.join(left, "i").join(right, "j").select(both.alias("kind"), F.lit("stitch").alias("source"), *[null.alias(c) for c in rest], "comp", *[f"{p}{k}" for p in "abo" for k in "xyz"], F.lit(0).cast("bigint").alias("cells"), F.col("d").alias("length"))
+    bridges = shuffled_join(shuffled_join(paired, left, "i"), right, "j").select(both.alias("kind"), F.lit("stitch").alias("source"), *[null.alias(c) for c in rest], "comp", *[f"{p}{k}" for p in "abo" for k in "xyz"], F.lit(0).cast("bigint").alias("cells"), F.col("d").alias("length"))
 
     used = paired.select(F.col("i").alias("e")).unionByName(paired.select(F.col("j").alias("e")))
-    lone = opened.join(used, F.struct("kx", "ky", "kz") == F.col("e"), "left_anti")
+    lone = shuffled_join(opened, used, F.struct("kx", "ky", "kz") == F.col("e"), "left_anti")
     tees = materialize(spark, tee_targets(lone, runs, options.stitch_gap))
     cuts = tees.groupBy("run_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    whole = runs.join(cuts, "run_id", "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    whole = shuffled_join(runs, cuts, "run_id", "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
     spans = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda n: F.struct(F.element_at("ts", n).alias("s"), F.element_at("ts", n + 1).alias("e")))
     split = whole.withColumn("_p", F.explode(spans))
     ab = v.sub(v.of("b"), v.of("a"))
@@ -165,7 +166,7 @@ def stitch(runs: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
     pieces = pieces.withColumn("length", v.length(v.sub(v.of("b"), v.of("a"))))
 
     target = runs.select(F.col("run_id").alias("to_run"), *v.named(v.of("a"), "s"), *v.named(v.of("b"), "t_"))
-    joint = tees.join(info.drop("run_id"), "e").join(target, F.col("run_id") == F.col("to_run"))
+    joint = shuffled_join(shuffled_join(tees, info.drop("run_id"), "e"), target, F.col("run_id") == F.col("to_run"))
     at = v.add(v.of("s"), v.scale(v.sub(v.of("t_"), v.of("s")), F.col("t")))
     onto = joint.select("kind", F.lit("stitch").alias("source"), *[null.alias(c) for c in rest], "comp", *v.named(v.of("p"), "a"), *v.named(at, "b"), "ox", "oy", "oz", F.lit(0).cast("bigint").alias("cells"), F.col("d").alias("length"))
     return pieces.unionByName(bridges).unionByName(onto)
