@@ -8,7 +8,7 @@ from stratum.plans import queries
 SF = "/root/testdata/sf0.001"
 #: Queries whose joins are all between tables that grow with the input.
 SHUFFLED = [
-    "covering_cells", "grid_components", "boundary_runs", "stitch_candidates",
+    "covering_cells", "grid_components", "boundary_runs", "stitch_candidates", "longest_runs",
 ]
 
 
