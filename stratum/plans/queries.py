@@ -182,8 +182,9 @@ def audit_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return closure.audit(runs_of(spark, d)).select("scope", "runs", "open_ends", F.size("sample").cast("bigint").alias("samples"))
 
 
-def opened(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(spark, closure.open_ends(closure.with_ids(runs_of(spark, d))))
+def opened(spark: SparkSession, d: str, runs: DataFrame | None = None) -> DataFrame:
+    runs = closure.with_ids(runs_of(spark, d)) if runs is None else runs
+    return materialize(spark, closure.open_ends(runs))
 
 
 @query
@@ -201,8 +202,8 @@ def stitch_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stitch_tees(spark: SparkSession, d: str) -> DataFrame:
     """Nearest inner point of another run for every open end."""
-    runs = closure.with_ids(runs_of(spark, d))
-    tees = closure.tee_targets(opened(spark, d), runs, GRID.stitch_gap)
+    runs = materialize(spark, closure.with_ids(runs_of(spark, d)))
+    tees = closure.tee_targets(opened(spark, d, runs), runs, GRID.stitch_gap)
     return tees.select("e.kx", "e.ky", "e.kz", r6("t").alias("t"), r6("d").alias("d"))
 
 
