@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import FloorOptions, GridOptions
 from ..functions import geometry as g
 from ..functions import vectors as v
-from ..runtime import discard, materialize
+from ..runtime import discard, materialize, shuffled_join
 from .octree import Root, build, in_solid, is_block, leaf_boxes
 
 #: Width of the horizontal buckets that vertical rays and boxes meet in.
@@ -23,15 +23,17 @@ def characters(instances: DataFrame) -> DataFrame:
     costs a logarithm of joins; instances that are their own ancestors are an error."""
     spark = instances.sparkSession
     models = instances.where("class = 'Humanoid'").select(F.col("parent_id").alias("instance_id")).distinct()
-    models = models.join(instances.where("class = 'Model'").select("instance_id"), "instance_id")
-    marked = instances.select("instance_id", "parent_id").join(models.select(F.col("instance_id").alias("parent_id"), F.lit(True).alias("hit")), "parent_id", "left")
+    models = shuffled_join(models, instances.where("class = 'Model'").select("instance_id"), "instance_id")
+    marked = shuffled_join(instances.select("instance_id", "parent_id"), models.select(F.col("instance_id").alias("parent_id"), F.lit(True).alias("hit")), "parent_id", "left")
     marked = materialize(spark, marked.select("instance_id", F.col("parent_id").alias("up"), F.coalesce("hit", F.lit(False)).alias("hit")))
     for _ in range(64):
-        if marked.where("up is not null").isEmpty():
+        climbing = marked.where("up is not null")
+        if climbing.isEmpty():
             return marked.where("hit").select("instance_id")
         above = marked.select(F.col("instance_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("more"))
-        after = marked.join(above, "up", "left").select("instance_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
-        after = materialize(spark, after)
+        after = shuffled_join(climbing, above, "up", "left").select("instance_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
+        # rows that have arrived would all meet under one null key
+        after = materialize(spark, after.unionByName(marked.where("up is null")))
         discard(marked)
         marked = after
     raise ValueError("instances that are their own ancestors")
