@@ -10,6 +10,7 @@ from ..config import FloorOptions, GridOptions
 from ..functions import geometry as g
 from ..functions import vectors as v
 from ..runtime import discard, materialize, shuffled_join
+from .bucket import copies, least_but, two_least
 from .octree import Root, build, in_solid, is_block, leaf_boxes
 
 #: Width of the horizontal buckets that vertical rays and boxes meet in.
@@ -46,11 +47,11 @@ def gather_parts(parts: DataFrame, options: FloorOptions = FloorOptions()) -> Da
     return parts.where(F.col("can_collide") & (F.col("class") != "Terrain") & ~F.col("is_character") & (wide <= options.max_ground_footprint))
 
 
-def spread_boxes(parts: DataFrame, extra: float = 0.0) -> DataFrame:
+def spread_boxes(parts: DataFrame, extra: float = 0.0, more: tuple[str, ...] = ()) -> DataFrame:
     """Copy each box to every horizontal bucket that its bounding box touches."""
     half = g.box_half(v.of("r"), v.of("u"), v.of("l"), v.of("s"))
     span = lambda k, i: F.sequence(F.floor((F.col(f"p{k}") - half[i] - extra) / PITCH), F.floor((F.col(f"p{k}") + half[i] + extra) / PITCH))
-    rows = parts.select("part_id", "name", *[F.col(c).alias(f"B{c}") for c in BOX], F.explode(span("x", 0)).alias("bx"), span("z", 2).alias("_z"))
+    rows = parts.select("part_id", "name", *more, *[F.col(c).alias(f"B{c}") for c in BOX], F.explode(span("x", 0)).alias("bx"), span("z", 2).alias("_z"))
     return rows.select("*", F.explode("_z").alias("bz")).drop("_z")
 
 
@@ -132,7 +133,7 @@ def local_grids(parts: DataFrame, options: GridOptions = GridOptions(), floor: F
     cube above it, tested before any ray because a ray cannot see a box it starts in, or by the
     first box overhead when that is nearer than the least clearance. Faces too steep to walk give
     no samples unless the part is always walkable."""
-    faces = top_faces(parts).join(parts.select("part_id", "name"), "part_id")
+    faces = shuffled_join(top_faces(parts), parts.select("part_id", "name"), "part_id")
     slope = F.degrees(F.acos(v.clamp(F.col("ny"), -1.0, 1.0)))
     faces = faces.withColumn("slope", slope).where((F.col("slope") <= floor.max_slope) | F.contains("name", F.lit(floor.always_walkable)))
     count = lambda c: F.greatest(F.floor(F.col(c) / options.step).cast("int"), F.lit(1))
@@ -142,16 +143,21 @@ def local_grids(parts: DataFrame, options: GridOptions = GridOptions(), floor: F
     p = v.add(v.of("c"), v.add(v.scale(v.of("u"), along("ui", "nu")), v.scale(v.of("v"), along("vi", "nv"))))
     samples = rows.select(F.col("part_id").alias("grid_id"), F.col("ui").cast("bigint").alias("ui"), F.col("vi").cast("bigint").alias("vi"), *v.named(p, "p"), *[f"{a}{x}" for a in "uvn" for x in "xyz"], "slope", "fallback")
     samples = materialize(parts.sparkSession, samples)
-    boxes = spread_boxes(parts, 1.0)
-    key = ["grid_id", "ui", "vi"]
+    # equal boxes and equal places meet once, however many parts and samples lie there
+    alike = materialize(parts.sparkSession, copies(parts, BOX, "part_id"))
+    boxes = spread_boxes(alike.withColumn("part_id", F.col("first")).withColumn("name", F.lit(None).cast("string")), 1.0, ("first", "second"))
+    key, place = ["grid_id", "ui", "vi"], ["px", "py", "pz"]
+    places = samples.select(*place).distinct()
     reach = options.step / 2 - 0.05
-    probe = samples.select(*key, "px", (F.col("py") + reach + 0.1).alias("py"), "pz")
-    near = probe.withColumn("bx", F.floor(F.col("px") / PITCH)).withColumn("bz", F.floor(F.col("pz") / PITCH)).join(boxes, ["bx", "bz"]).where("part_id <> grid_id")
+    near = places.withColumn("bx", F.floor(F.col("px") / PITCH)).withColumn("bz", F.floor(F.col("pz") / PITCH))
+    near = shuffled_join(near, boxes, ["bx", "bz"])
     axes = (v.of("Br"), v.of("Bu"), v.of("Bl"))
-    near = near.where(g.box_hits_cube(v.of("Bp"), axes, v.scale(v.of("Bs"), 0.5), v.of("p"), F.lit(reach)))
-    killed = near.groupBy(*key).agg(F.min("part_id").alias("overlap"))
-    above = first_hits(samples.select(*key, F.col("px").alias("qx"), (F.col("py") + 0.15).alias("qy"), F.col("pz").alias("qz")), boxes, key, v.lit(0, 1, 0), F.lit(floor.clear_cap))
-    rows = samples.join(killed, key, "left").join(above.select(*key, "t", F.col("part_id").alias("roof")), key, "left")
+    centre = (F.col("px"), F.col("py") + reach + 0.1, F.col("pz"))
+    near = near.where(g.box_hits_cube(v.of("Bp"), axes, v.scale(v.of("Bs"), 0.5), centre, F.lit(reach)))
+    killed = near.groupBy(*place).agg(two_least(F.lit(0)).alias("two"))
+    above = first_hits(places.select(*place, F.col("px").alias("qx"), (F.col("py") + 0.15).alias("qy"), F.col("pz").alias("qz")), boxes, place, v.lit(0, 1, 0), F.lit(floor.clear_cap))
+    rows = shuffled_join(shuffled_join(samples, killed, place, "left"), above.select(*place, "t", F.col("part_id").alias("roof")), place, "left")
+    rows = rows.withColumn("overlap", least_but(F.col("two"), F.col("grid_id"))["hit"]).drop("two")
     killer = F.coalesce("overlap", F.when(F.col("t") + 0.15 < options.min_clearance, F.col("roof")))
     rows = materialize(parts.sparkSession, rows.withColumn("killer_id", killer).withColumn("clearance", F.coalesce("t", F.lit(floor.clear_cap))))
     # unique for part ids below 2^31 and faces of at most 2^16 steps
@@ -167,7 +173,7 @@ def footprints(parts: DataFrame, dead: DataFrame, options: GridOptions = GridOpt
     The yaw frame is the part's right axis laid flat; each lattice place under the bounding square
     sends a ray upward from below, and what it enters first is the underside."""
     killers = dead.where("killer_id is not null").select(F.col("killer_id").alias("part_id")).distinct()
-    rows = parts.where("shape = 'Block'").join(killers, "part_id", "left_semi")
+    rows = shuffled_join(parts.where("shape = 'Block'"), killers, "part_id", "left_semi")
     flat = F.sqrt(F.col("rx") * F.col("rx") + F.col("rz") * F.col("rz"))
     ux = F.when(flat > 1e-6, F.col("rx") / flat).otherwise(F.lit(1.0))
     uz = F.when(flat > 1e-6, F.col("rz") / flat).otherwise(F.lit(0.0))

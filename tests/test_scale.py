@@ -2,9 +2,13 @@
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
+from stratum.operators import bucket, gridbounds, surface
 from stratum.plans import queries
 
+from test_operators import PARTS, grid_cells, no_dead, part
+
 SF = "/root/testdata/sf0.001"
 #: Queries whose joins are all between tables that grow with the input.
 SHUFFLED = [
@@ -27,3 +31,52 @@ def test_no_table_is_broadcast_by_its_estimated_size(spark, monkeypatch, name):
     plan_of(queries.QUERIES[name](spark, SF))
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastExchange" in p or "BroadcastNestedLoop" in p for p in plans)
+
+
+def counted(monkeypatch, module):
+    """The numbers of rows that the joins of a module make."""
+    rows, join = [], module.shuffled_join
+
+    def noted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "shuffled_join", noted)
+    return rows
+
+
+def test_copies_of_a_box_meet_once(spark, monkeypatch):
+    made = counted(monkeypatch, surface)
+    n = 40
+    places = [(k, (0, 0, 0), (4, 1, 4)) for k in range(n, 0, -1)] + [(n + k, (0, 2, 0), (1.5, 3, 4)) for k in range(n, 0, -1)]
+    live, dead = surface.local_grids(spark.createDataFrame([part(*p) for p in places], PARTS))
+    # every wall but the least is killed by nothing but itself, so walls stay under the sky; floors die by the least wall
+    killers = {(r.grid_id, r.killer_id) for r in dead.select("grid_id", "killer_id").distinct().collect()}
+    assert killers == {(k, n + 1) for k in range(1, n + 1)}
+    assert dead.where(f"grid_id <= {n}").count() + live.where(f"grid_id <= {n}").count() == 16 * n
+    # 20 places at most see two boxes in a bucket; samples are joined back one to one
+    assert made and max(made) <= 24 * n
+
+
+def test_a_killer_is_the_least_other_part(spark):
+    """Three equal boxes that overlap each other's probes: the least kills the others, the next one kills it."""
+    parts = spark.createDataFrame([part(k, (0, 0, 0), (2, 1, 2)) for k in (7, 3, 5)] + [part(k, (0, 1.2, 0), (2, 1, 2)) for k in (4, 9)], PARTS)
+    _, dead = surface.local_grids(parts)
+    assert {(r.grid_id, r.killer_id) for r in dead.collect()} == {(7, 4), (3, 4), (5, 4)}
+
+
+def test_copies_of_a_cell_meet_once(spark, monkeypatch):
+    made = counted(monkeypatch, bucket)
+    n = 40
+    cells = grid_cells(spark, [(k, k, 0, 0, 0.5, 0.0, 0.5, 0.0) for k in range(n, 0, -1)] + [(n + k, n + k, 0, 0, 1.5, 0.0, 0.5, 0.0) for k in range(n, 0, -1)])
+    covered = gridbounds.covered_sides(cells).collect()
+    assert {(r.cell_id, r.du, r.dv, r.hit, r.close) for r in covered} == {(k, 1, 0, n + 1, n + 1) for k in range(1, n + 1)} | {(n + k, -1, 0, 1, 1) for k in range(1, n + 1)}
+    assert max(made) <= 4 * 2 * n
+    # a probe that its own cell covers takes the next copy, or the next tile
+    probes = cells.where("cell_id in (1, 2)").selectExpr("cell_id", "px as qx", "py as qy", "pz as qz")
+    skip = bucket.covering_cell(probes, cells, ["cell_id"], 0.25, 0.25, 0.6, 1.0, F.col("cell_id")).collect()
+    assert {(r.cell_id, r.hit, r.off) for r in skip} == {(1, 2, 0.0), (2, 1, 0.0)}
+    few = cells.where(f"cell_id in (1, {n + 1})")
+    skip = bucket.covering_cell(probes.where("cell_id = 1"), few, ["cell_id"], 0.25, 0.25, 0.6, 1.0, F.col("cell_id")).collect()
+    assert {(r.cell_id, r.hit, r.off) for r in skip} == {(1, n + 1, 1.0)}
