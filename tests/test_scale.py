@@ -80,3 +80,13 @@ def test_copies_of_a_cell_meet_once(spark, monkeypatch):
     few = cells.where(f"cell_id in (1, {n + 1})")
     skip = bucket.covering_cell(probes.where("cell_id = 1"), few, ["cell_id"], 0.25, 0.25, 0.6, 1.0, F.col("cell_id")).collect()
     assert {(r.cell_id, r.hit, r.off) for r in skip} == {(1, n + 1, 1.0)}
+
+
+def test_copies_of_a_killer_cost_one_footprint(spark):
+    n = 20
+    parts = spark.createDataFrame([part(k, (0, 0, 0), (4, 1, 4)) for k in range(1, n + 1)] + [part(n + k, (0, 2, 0), (1.5, 3, 4)) for k in range(1, n + 1)], PARTS)
+    _, dead = surface.local_grids(parts)
+    feet = surface.footprints(parts, dead)
+    plan = feet._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert {r.part_id for r in feet.select("part_id").distinct().collect()} == {n + 1}
