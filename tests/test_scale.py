@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries whose joins are all between tables that grow with the input.
 SHUFFLED = [
     "covering_cells", "grid_components", "boundary_runs", "stitch_candidates", "longest_runs",
-    "wall_selection", "stitch_tees", "character_parts", "cut_frontier", "cut_outline_runs",
+    "wall_selection", "stitch_tees", "character_parts", "cut_frontier", "cut_outline_runs", "audit_by_kind",
 ]
 
 
