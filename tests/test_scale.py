@@ -15,6 +15,7 @@ SHUFFLED = [
     "covering_cells", "grid_components", "boundary_runs", "stitch_candidates", "longest_runs",
     "wall_selection", "stitch_tees", "character_parts", "cut_frontier", "cut_outline_runs", "audit_by_kind",
     "component_sizes", "stitch_pairs", "stitched_audit", "debug_bars", "endpoint_degree", "open_ends",
+    "run_length_by_kind",
 ]
 
 
