@@ -1,10 +1,12 @@
 """Plans at scale: nothing that grows with the input is gathered on the driver."""
 
+import random
+
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from stratum.operators import bucket, gridbounds, surface
+from stratum.operators import bucket, graph, gridbounds, surface
 from stratum.plans import queries
 
 from test_operators import PARTS, grid_cells, no_dead, part
@@ -102,3 +104,24 @@ def test_floor_under_copies_of_a_foot(spark, monkeypatch):
     floors = gridbounds.floor_under(feet, cells, no_dead(spark)).collect()
     assert sorted((r.part_id, r.floor_y) for r in floors) == [(k, 1.0) for k in range(n)]
     assert max(made) <= n
+
+
+@pytest.mark.parametrize("chunk", [0, 7])
+def test_components_of_a_graph_beyond_one_task(spark, chunk):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(5, k) for k in range(200, 230)] + [(1, 1), (7, 8), (7, 8)]
+    least = {n: n for a, b in edges if a != b for n in (a, b)}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), small=0, chunk=chunk).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(least.items())
+
+
+def test_near_nodes_are_joined_without_rounds(spark, monkeypatch):
+    """Chunks leave so few links between their roots that one task joins them."""
+    monkeypatch.setattr(graph, "starred", None)
+    # two chains, of even and of odd nodes
+    got = graph.connected_components(spark.range(2000).selectExpr("id as a", "id + 2 as b"), small=100, chunk=150)
+    assert [(r.component, r["count"]) for r in got.groupBy("component").count().orderBy("component").collect()] == [(0, 1001), (1, 1001)]
