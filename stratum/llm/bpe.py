@@ -35,6 +35,8 @@ ID_BITS = 20
 SHORT_WORD = 256
 #: Words remembered per Python worker before the map starts afresh.
 MEMORY_WORDS = 800_000
+#: Words of a text looked up in one generation of the map.
+SLICE = 10_000
 NO_RANK = 1 << 60
 
 
@@ -46,10 +48,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Words(dict):
+    """Ids of the words met; a word that is missing is encoded by the owner, which keeps it."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encode(word)
+
+
 class WordBpe:
-    """Encoder and decoder of a lower-casing word-end BPE vocabulary in tokenizers' JSON form."""
+    """Encoder and decoder of a lower-casing word-end BPE vocabulary in tokenizers' JSON form.
+
+    library: pieces are merged by the tokenizers library's model instead of the rank arrays."""
 
-    def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
+    def __init__(self, path: str, memory: int = MEMORY_WORDS, library: bool = False) -> None:
         self.memory = memory
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -65,7 +79,7 @@ class WordBpe:
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = Words(self.encode_word)
         self.older: dict[str, bytes] = {}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.space = re.compile(f"[{SPACE}]+")
@@ -77,6 +91,12 @@ class WordBpe:
         self.split = regex.compile(self.pattern)
         self.path = path
         self.library = None
+        self.model = None
+        if library:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(path).model
+            self.letters = dict(enumerate(letters))
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Repeatedly delete the boundary of lowest rank (leftmost on ties) until none is left.
@@ -119,6 +139,8 @@ class WordBpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
+        if self.model is not None:
+            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
         parts = [self.inner[b] for b in raw[:-1]]
         parts.append(self.last[raw[-1]])
         return self.merge_short(parts) if len(parts) <= SHORT_WORD else self.merge_long(parts)
@@ -136,17 +158,17 @@ class WordBpe:
     def encode_word(self, word: str) -> bytes:
         """Ids of a normalized run without white space, which may hold several pieces,
         as little-endian unsigned 32-bit integers."""
-        packed = self.older.get(word)
+        packed = self.words.get(word) or self.older.get(word)
         if packed is None:
             if word.isascii() and word.isalpha():
                 ids = self.encode_piece(word)
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            elif word[-1] in ENDS and word[:-1].isalpha() and word.isascii():
+                # the word without its mark is a piece, and often known
+                packed = self.words[word[:-1]] + self.words[word[-1]]
             else:
                 ids, known = [], self.pieces
-                plain = word[-1] in ENDS and word[:-1].isascii() and word[:-1].isalpha()
-                if plain:
-                    pieces = [word[:-1], word[-1]]
-                else:
-                    pieces = self.split.findall(word) if word.isprintable() else self.newer_pieces(word)
+                pieces = self.split.findall(word) if word.isprintable() else self.newer_pieces(word)
                 for piece in pieces:
                     got = known.get(piece)
                     if got is None:
@@ -156,10 +178,10 @@ class WordBpe:
                     ids += got
                 if len(known) >= self.memory // 4:
                     known.clear()
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = struct.pack(f"<{len(ids)}I", *ids)
         # words not met for a whole generation are forgotten; frequent ones move on
         if len(self.words) >= self.memory * 3 // 8:
-            self.older, self.words = self.words, {}
+            self.older, self.words = self.words, Words(self.encode_word)
         if len(word) <= SHORT_WORD:
             self.words[word] = packed
         return packed
@@ -185,12 +207,14 @@ class WordBpe:
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        word_ids = self.encode_word
         for part in self.parts(text or ""):
             if isinstance(part, int):
                 out.append(struct.pack("<I", part))
                 continue
-            out += [self.words.get(w) or word_ids(w) for w in self.normalized_words(part)]
+            words = self.normalized_words(part)
+            for k in range(0, len(words), SLICE):
+                # a generation may end within a slice
+                out += map(self.words.__getitem__, words[k : k + SLICE])
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
@@ -202,15 +226,16 @@ class WordBpe:
         return " ".join([token[i] for i in ids if i in token])
 
 
-_loaded: dict[tuple[str, int], WordBpe] = {}
+_loaded: dict[tuple[str, int, bool], WordBpe] = {}
 remembers("bpe", _loaded.clear)
 
 
-def load(path: str, memory: int = MEMORY_WORDS) -> WordBpe:
-    """One encoder per worker process, vocabulary and number of words to remember."""
-    if (path, memory) not in _loaded:
-        _loaded[path, memory] = WordBpe(path, memory)
-    return _loaded[path, memory]
+def load(path: str, memory: int = MEMORY_WORDS, library: bool = False) -> WordBpe:
+    """One encoder per worker process, vocabulary, number of words to remember and way to merge."""
+    key = path, memory, library
+    if key not in _loaded:
+        _loaded[key] = WordBpe(*key)
+    return _loaded[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:

@@ -181,7 +181,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = Pac
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         focus("bpe")
-        bpe = load(vocabulary, config.memory)
+        bpe = load(vocabulary, config.memory, library=True)
         context = TaskContext.get()
         packer = Packer(sentence_ids(bpe.token, bpe.end), config, (context.partitionId() if context else 0) << 40)
         for batch in batches:
@@ -193,7 +193,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = Pac
 
     def join(table: pa.Table) -> pa.Table:
         focus("bpe")
-        bpe = load(vocabulary, config.memory)
+        bpe = load(vocabulary, config.memory, library=True)
         rows = sorted(table.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
         # its first task used fewer sequence ids than this
         packer = Packer(sentence_ids(bpe.token, bpe.end), config, (rows[0]["sequence_id"] >> 40 << 40) + (1 << 39))

@@ -71,6 +71,23 @@ def test_bpe_long_words_match_short_ones():
         assert own.merge_short(list(parts)) == own.merge_long(list(parts))
 
 
+def test_words_are_merged_once_and_equal_the_library(real, monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary())
+    rnd = random.Random(3)
+    texts = [t for _, t, _ in real[:40]] + [t or "" for t in ODD if t is not LONG] + ["".join(rnd.choice("aeΣσς'stİÉé \n\t\x1d\x85.,!12½日😀ẞ<|>ﬁÅ\u088f") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    for memory in (8, 100_000):
+        own = bpe.WordBpe(vocabulary(), memory, library=True)
+        for t in texts:
+            assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    merged = []
+    monkeypatch.setattr(own, "encode_piece", lambda piece, f=own.encode_piece: merged.append(piece) or f(piece))
+    want = lib.encode("zyzzyvas zyzzyvas, zyzzyvas. Zyzzyvas!", add_special_tokens=False).ids
+    assert own.encode("zyzzyvas zyzzyvas, zyzzyvas. Zyzzyvas!") == want
+    assert merged.count("zyzzyvas") == 1
+
+
 def test_suffixes_equal_brute_force(spark, empty):
     rnd = random.Random(4)
     configs = [suffixes.SuffixConfig(length=40, window=16, run_rows=50, block_rows=60, **hot) for hot in ({}, {"hot_rows": 3, "slices": 4}, {"hot_rows": 1, "slices": 16}, {"hot_rows": 8, "slices": 3})]
