@@ -425,6 +425,17 @@ def test_near_passages_are_recalled(spark):
         assert len(pairs) > 100 and sum(find(a) == find(b) for a, b in pairs) >= least * len(pairs)
 
 
+def test_all_texts_of_a_signature_group_meet():
+    config, rnd = windows.WindowConfig(), random.Random(5)
+    w = np.zeros(30 + 100, windows.WINDOW)
+    w["h"], w["d"], w["l"], w["r"], w["c"] = [7] * 30 + [8] * 100, [*range(30), *range(100)], 60, 60, 100
+    # no context is met twice
+    w["p"], w["q"] = rnd.sample(range(1 << 20), 130), rnd.sample(range(1 << 20), 130)
+    small, large = windows.ties(w[:30], config), windows.ties(w[30:], config)
+    assert {tuple(sorted(x)) for x in zip(small["a"].tolist(), small["b"].tolist())} == {(a, b) for b in range(30) for a in range(b)}
+    assert {0, *large["a"].tolist(), *large["b"].tolist()} == {*range(100)} and large.size < 500
+
+
 def test_compact_windows_by_definition():
     rnd = np.random.default_rng(15)
     config = windows.WindowConfig(words=14, functions=2, near=3)
