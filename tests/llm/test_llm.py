@@ -99,6 +99,15 @@ def test_suffixes_equal_brute_force(spark, empty):
     assert suffixes.remove_repeats(empty, config).count() == 0
 
 
+def test_few_repeats_do_not_put_two_workers_into_a_task(spark):
+    passage = " ".join(f"again{i}" for i in range(60))
+    docs = docs_of(spark, [f"one {passage}", f"two {passage}", "three"])
+    for config in (suffixes.SuffixConfig(length=256, words=51, keep_one=True), suffixes.SuffixConfig()):
+        left = suffixes.remove_repeats(docs, config)
+        assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 3
+
+
 def test_loser_tree_orders_and_measures(spark):
     rnd = random.Random(6)
     for _ in range(40):
