@@ -1,11 +1,13 @@
 """Plans at scale: nothing that grows with the input is gathered on the driver."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from stratum import runtime
 from stratum.operators import bucket, graph, gridbounds, surface
 from stratum.plans import queries
 
@@ -37,6 +39,13 @@ def test_no_table_is_broadcast_by_its_estimated_size(spark, monkeypatch, name):
     assert not any("BroadcastExchange" in p or "BroadcastNestedLoop" in p for p in plans)
 
 
+def test_scratch_tables_are_part_files_only(spark):
+    table = runtime.materialize(spark, spark.range(100, numPartitions=3))
+    names = os.listdir(table._scratch.removeprefix("file://"))
+    assert len(names) == 3 and all(n.startswith("part-") for n in names)
+    assert sorted(r.id for r in table.collect()) == list(range(100))
+
+
 def counted(monkeypatch, module):
     """The numbers of rows that the joins of a module make."""
     rows, join = [], module.shuffled_join
