@@ -497,6 +497,22 @@ def test_passages_with_an_edit_anywhere_are_verified():
                 assert min(t - b, d - c) >= config.least and likeness == len(p & q) / len(p | q) >= 0.75
 
 
+def test_stretches_without_a_passage_are_not_searched(monkeypatch):
+    config, rng, sought = windows.WindowConfig(), np.random.default_rng(23), []
+    monkeypatch.setattr(windows, "chain", lambda j, chain=windows.chain: sought.append(j.size) or chain(j))
+    x, y = (rng.integers(0, 1 << 63, 400, np.uint64) for _ in "xy")
+    y[::3] = x[::3]
+    assert windows.matching(x, y, config) == [] and not sought
+    # what can be found is always searched
+    for _ in range(300):
+        near = rng.random(200) < rng.choice([0.6, 0.75, 0.9])
+        i = np.flatnonzero(near)
+        if windows.filled_up(x[:200], np.where(near, x[:200], y[200:]), i, i, (0, 200, 0, 200), config):
+            sought.append(1)
+            assert windows.promising(i, config)
+    assert sought
+
+
 def test_matching_agrees_with_brute_force():
     rnd = random.Random(17)
     config = windows.WindowConfig(words=16)
