@@ -513,6 +513,15 @@ def test_stretches_without_a_passage_are_not_searched(monkeypatch):
     assert sought
 
 
+def test_order_of_ties_does_not_matter():
+    config, rng = windows.WindowConfig(), np.random.default_rng(24)
+    t = np.zeros(300, windows.TIE)
+    for name, most in (("a", 3), ("b", 3), ("x", 4), ("y", 200), ("n", 100), ("f", 4)):
+        t[name] = rng.integers(0, most, t.size) + (config.least if name == "n" else 0)
+    found = windows.overlapping(t, config)
+    assert found and all(windows.overlapping(t[rng.permutation(t.size)], config) == found for _ in range(5))
+
+
 def test_matching_agrees_with_brute_force():
     rnd = random.Random(17)
     config = windows.WindowConfig(words=16)
